@@ -147,6 +147,17 @@ class Automaton:
         return " ".join([self.label[i] for i in ids])
 
 
+class Chunks(dict):
+    """Ids and labels as text, and their number, by chunk; found at the first lookup."""
+
+    def __init__(self, find: Callable[[str], tuple[str, str, int]]):
+        self.find = find
+
+    def __missing__(self, chunk: str) -> tuple[str, str, int]:
+        self[chunk] = got = self.find(chunk)
+        return got
+
+
 class WordCodec:
     """Encodes and decodes whole texts; chunks between white space are remembered."""
 
@@ -162,8 +173,7 @@ class WordCodec:
         self.letters = byte_letters()
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.chunks: dict[str, tuple[str, str, int]] = {}
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.chunks, self.known = Chunks(self.chunk), Chunks(self.word)
 
     def split(self, chunk: str) -> list[str]:
         """A chunk's words in the byte-level alphabet."""
@@ -179,22 +189,21 @@ class WordCodec:
         return ["".join([letters[b] for b in w.encode()]) for w in words]
 
     def chunk(self, chunk: str) -> tuple[str, str, int]:
-        got = [self.known.get(word) or self.word(word) for word in self.split(chunk)]
+        if isinstance(chunk, tuple):  # a special token
+            return str(self.special[chunk[0]]), chunk[0], 1
+        got = [self.known[word] for word in self.split(chunk)]
         return got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
 
     def word(self, word: str) -> tuple[str, str, int]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
         ids = self.automaton.encode_word(word)
-        got = self.known[word] = " ".join(map(str, ids)), self.automaton.decode(ids), len(ids)
-        return got
+        return " ".join(map(str, ids)), self.automaton.decode(ids), len(ids)
 
     def pieces(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split alone
             return regex.split(r"[\s--\x1c-\x1f]+", text, flags=regex.V1)
         return text.split()
 
-    def run(self, text: str) -> tuple[list[str], list[str], int]:
+    def run(self, text: str) -> tuple[tuple[str, ...], tuple[str, ...], int]:
         parts, chunks = [], self.chunks
         if "<|" in text and (marks := list(self.cut.finditer(text))):
             at = 0
@@ -204,17 +213,12 @@ class WordCodec:
             parts += self.pieces(text[at:])
         else:
             parts = self.pieces(text)
-        if len(chunks) > MEMORY:
-            chunks.clear()
-        got = []
-        for part in parts:
-            value = chunks.get(part)
-            if value is None:
-                value = (str(self.special[part[0]]), part[0], 1) if isinstance(part, tuple) else self.chunk(part)
-                chunks[part] = value
-            if value[2]:
-                got.append(value)
-        return [g[0] for g in got], [g[1] for g in got], sum([g[2] for g in got])
+        for known in (chunks, self.known):
+            if len(known) > MEMORY:
+                known.clear()
+        got = list(map(chunks.__getitem__, parts))
+        ids, decoded, n = zip(*got, strict=True) if got else ((), (), ())
+        return ids, decoded, sum(n)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for x in self.run(text or "")[0] for i in x.split(" ")]

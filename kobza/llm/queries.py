@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kobza.llm.bpe_automaton import encode_digests
 from kobza.llm.common import table, tokenizer_path
+from kobza.llm.packing import pack_documents
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +20,7 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe_automaton,)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op8_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
