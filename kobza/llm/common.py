@@ -46,3 +46,13 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sample_keys(df: DataFrame, key: str, per_stratum: int, strata: list[str] | None = None) -> DataFrame:
+    """At most per_stratum keys of each stratum, spread by hash: the smallest key of each of so many hash buckets.
+
+    Keys and strata are aggregated map-side, so no stratum's rows meet in a task.
+    """
+    strata = strata or []
+    bucket = F.pmod(F.xxhash64(key), F.lit(per_stratum)).alias("_bucket")
+    return df.where(F.col(key).isNotNull()).groupBy(*strata, bucket).agg(F.min(key).alias(key)).drop("_bucket")

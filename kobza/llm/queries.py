@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kobza.llm.bpe_automaton import encode_digests
-from kobza.llm.common import table, tokenizer_path
+from kobza.llm.common import crc_rest, table, tokenizer_path
+from kobza.llm.langid import identify_languages
 from kobza.llm.packing import pack_documents
+from kobza.llm.quality import score_quality
+
+
+def rest_is(modulus: int, rest: int) -> Column:
+    return F.coalesce(crc_rest(F.col("doc_id"), modulus) == rest, F.lit(False))
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rest_is(3, 1))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op7_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), rest_is(4, 2))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op8_bpe_automaton)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_best_fit_packing, op7_gru_language, op8_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
