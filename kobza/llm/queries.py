@@ -13,6 +13,7 @@ from kobza.llm.langid import identify_languages
 from kobza.llm.packing import pack_documents
 from kobza.llm.quality import score_quality
 from kobza.llm.secrets import secret_digests
+from kobza.llm.toxicity import score_toxicity
 
 
 def rest_is(modulus: int, rest: int) -> Column:
@@ -35,12 +36,16 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rest_is(5, 3))
+
+
 def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pu_quality, op2_best_fit_packing, op7_gru_language, op8_bpe_automaton, op10_randomness_secrets)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_best_fit_packing, op7_gru_language, op8_bpe_automaton, op9_toxicity_chain, op10_randomness_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -82,7 +82,7 @@ def upper_tail(z: Column) -> Column:
 
 
 def encoding_of(body: Column) -> Column:
-    return F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[A-Z2-7]+=*$"), "base32").when(body.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
+    return F.when(body.rlike("^([0-9a-f-]+|[0-9A-F-]+)$"), "hex").when(body.rlike("^[A-Z2-7]+=*$"), "base32").when(body.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
 
 
 
@@ -90,7 +90,7 @@ def p_value(body: Column) -> Column:
     """Of randomness over the inferred alphabet: three times the smallest of the tests' p-values, at most 1."""
     key = encoding_of(body)
     alphabet = F.coalesce(*[F.when(key == name, F.lit(letters)) for name, letters in ALPHABETS.items()])
-    bare = F.regexp_replace(body, "=+$", "")
+    bare = F.when(key == "hex", F.lower(F.regexp_replace(body, "-", ""))).otherwise(F.regexp_replace(body, "=+$", ""))
 
     def tests(x: Column) -> Column:
         n, k = F.size(x["at"]).cast("double"), x["k"].cast("double")
