@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kobza.llm.bpe_automaton import encode_digests
 from kobza.llm.common import crc_rest, table, tokenizer_path
+from kobza.llm.context_mixing import score_texts
 from kobza.llm.jaccard import jaccard_components
 from kobza.llm.langid import identify_languages
 from kobza.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), rest_is(7, 2))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pu_quality, op2_best_fit_packing, op4_jaccard_join, op7_gru_language, op8_bpe_automaton, op9_toxicity_chain, op10_randomness_secrets)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_best_fit_packing, op3_context_mixing, op4_jaccard_join, op7_gru_language, op8_bpe_automaton, op9_toxicity_chain, op10_randomness_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
