@@ -3,17 +3,18 @@
 A text is read as its words, lower-cased over A-Z and joined by single spaces, and one end symbol; the model gives every
 bit of every byte a probability, so a text's is a product and sums to one over all texts.
 
-* Bit predictors: for each order from 1 to 5 the last bytes and the bits of the present one are hashed to a slot of a
+* Bit predictors: for each order (1 to 5, and 7) the last bytes and the bits of the present one are hashed to a slot of a
   table of fixed size, which counts zeros and ones over all learning documents. The tables' size is the bound on what is
   broadcast; what is counted and shuffled grows with the corpus.
-* Mixer: the predictors' logits are summed with weights from the set that a gate chooses: the bit's place, and the
-  highest order that has seen the context often, seldom or never. Weights are learned online on a bounded sample of
-  learning documents, which is left out of the counts, so that predictors don't meet what they have counted.
+* Mixer: the predictors' logits are summed with weights from two sets, each chosen by a gate, and the two sums are
+  averaged. One gate is the bit's place and the highest order that has seen the context often, seldom or never, the other
+  the bit's place and the last byte. Weights are learned online on a bounded sample of learning documents, against tables
+  that leave the sample out, so that predictors don't meet what they have counted; scores use the tables of all.
 * Refinement: an adaptive probability map from the mixer's logit and the last byte, learned online with the mixer; the
   result is the mean of both.
 
-For scoring the model is frozen. The probability of a byte then depends on the five bytes before it alone, and each task
-remembers it by these six bytes.
+For scoring the model is frozen. The probability of a byte then depends on the seven bytes before it alone, and each task
+remembers it by these eight bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +32,15 @@ from kobza.llm.common import durable, sample_keys, shuffle_width
 from kobza.llm.jaccard import LOWER, PRIME, Shingler, blocks, mix
 
 #: Slots of each order's table, as powers of two; documents that teach the mixer; bits of a table segment.
-TABLES, SAMPLE, SEGMENT = {1: 20, 2: 20, 3: 20, 4: 22, 5: 22}, 256, 16
+TABLES, SAMPLE, SEGMENT = {1: 20, 2: 20, 3: 20, 4: 22, 5: 22, 7: 22}, 256, 16
 ORDERS = list(TABLES)
 DEPTH = max(ORDERS)
 END = b"\n"
-#: Six-byte sequences that one task remembers, as a power of two.
-MEMORY = 21
+#: Sequences of a byte and its context that one task remembers, as a power of two.
+MEMORY = 22
 LEVELS = 5  # how often a slot was seen: never, once, up to 3, up to 15, more
 BUCKETS = 33  # of the adaptive map, by logit
+PRIOR = 0.05  # zeros and ones that a slot has before any is counted
 
 
 def canonical(text: str | None) -> list[bytes]:
@@ -52,8 +55,8 @@ def context_of(keys: np.ndarray, order: int) -> np.ndarray:
     return (keys >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
 
 
-def six_grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Key of every byte of the texts and of their ends (five bytes before it, then itself), and each text's first key."""
+def grams_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every byte of the texts and of their ends (DEPTH bytes before it, then itself), and each text's first key."""
     before = END * DEPTH
     data = np.frombuffer(before + before.join(p + END for p in parts), np.uint8).astype(np.uint64)
     keys = np.zeros(len(data) - DEPTH, np.uint64)
@@ -74,13 +77,14 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def counted_grams(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """Each task's six-grams and counts, packed by bucket of the last three context bytes."""
+def counted_grams(df: DataFrame, key: str, text: str, buckets: int, taught: bool) -> DataFrame:
+    """Each task's grams and counts, packed by bucket of the last three context bytes. taught: whether these documents
+    teach the mixer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for _, texts in blocks(batches):
-            found, number = np.unique(six_grams([b" ".join(canonical(t)) for t in texts])[0], return_counts=True)
+            found, number = np.unique(grams_of([b" ".join(canonical(t)) for t in texts])[0], return_counts=True)
             waiting.append((found, number))
             size += len(found)
             if size > 1 << 22:
@@ -96,17 +100,19 @@ def counted_grams(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
 
-    return df.select(key, text).mapInArrow(run, "bucket int, keys binary, counts binary")
+    return df.select(key, text).mapInArrow(run, "bucket int, keys binary, counts binary").withColumn("taught", F.lit(taught))
 
 
 def slot_counts(grams: DataFrame) -> DataFrame:
     """Per order and segment of its table: slots with zeros and ones."""
 
     def run(rows: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.frombuffer(b"".join(rows[c].to_pylist()), kind)
-        keys, counts = merged(read("keys", np.uint64), read("counts", np.int64))
         out = []
-        for order in ORDERS:
+        for order, taught in [(k, t) for k in ORDERS for t in (False, True)]:
+            part = rows.filter(pa.compute.equal(rows["taught"], taught))
+            if not part.num_rows:
+                continue
+            keys, counts = (np.frombuffer(b"".join(part[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
             own, number = merged(keys & np.uint64((1 << (8 * (order + 1))) - 1), counts)
             context, byte = context_of(own, order), own & np.uint64(255)
             slots, bits = [], []
@@ -117,26 +123,32 @@ def slot_counts(grams: DataFrame) -> DataFrame:
             segment = both >> (SEGMENT + 1)
             cuts = np.flatnonzero(np.diff(segment, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(both)], strict=True):
-                out.append((order, int(segment[a]), (both[a:b] & ((2 << SEGMENT) - 1)).astype(np.uint32).tobytes(), total[a:b].tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["order", "segment", "slots", "counts"])
+                out.append((order, int(segment[a]), (both[a:b] & ((2 << SEGMENT) - 1)).astype(np.uint32).tobytes(), total[a:b].tobytes(), taught))
+        columns = list(zip(*out, strict=True))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["order", "segment", "slots", "counts", "taught"])
 
-    return grams.groupBy("bucket").applyInArrow(run, "order int, segment int, slots binary, counts binary")
+    return grams.groupBy("bucket").applyInArrow(run, "order int, segment int, slots binary, counts binary, taught boolean")
 
 
 def predictors(slots: DataFrame) -> DataFrame:
-    """Per order and segment: each slot's logit (in 256ths) and how often it was seen."""
+    """Per order and segment: each slot's logit (in 256ths) and how often it was seen, without the taught documents
+    (taught: false) and with them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        total = np.zeros(2 << SEGMENT)
-        for s, c in zip(rows["slots"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(s, np.uint32)] += np.frombuffer(c, np.int64)
-        zeros, ones = total[::2], total[1::2]
-        logit = np.clip(np.log((ones + 0.3) / (zeros + 0.3)) * 256, -3000, 3000).round().astype(np.int16)
-        level = np.digitize(zeros + ones, [1, 2, 4, 16]).astype(np.uint8)
-        return pa.table([pa.array([rows["order"][0].as_py()], pa.int32()), pa.array([rows["segment"][0].as_py()], pa.int32()), pa.array([logit.tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], names=["order", "segment", "logits", "levels"])
+        total, out = np.zeros(2 << SEGMENT), []
+        for taught in (False, True):
+            part = rows.filter(pa.compute.equal(rows["taught"], taught))
+            for s, c in zip(part["slots"].to_pylist(), part["counts"].to_pylist(), strict=True):
+                total[np.frombuffer(s, np.uint32)] += np.frombuffer(c, np.int64)
+            zeros, ones = total[::2], total[1::2]
+            logit = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)) * 256, -3000, 3000).round().astype(np.int16)
+            level = np.digitize(zeros + ones, [1, 2, 4, 16]).astype(np.uint8)
+            out.append((logit.tobytes(), level.tobytes(), taught))
+        columns = list(zip(*out, strict=True))
+        place = [pa.array([rows[c][0].as_py()] * 2, pa.int32()) for c in ("order", "segment")]
+        return pa.table([*place, pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2])], names=["order", "segment", "logits", "levels", "taught"])
 
-    return slots.groupBy("order", "segment").applyInArrow(run, "order int, segment int, logits binary, levels binary")
+    return slots.groupBy("order", "segment").applyInArrow(run, "order int, segment int, logits binary, levels binary, taught boolean")
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -149,7 +161,7 @@ class Mixer:
     def __init__(self) -> None:
         self.logits = {k: np.zeros(1 << n, np.int16) for k, n in TABLES.items()}
         self.levels = {k: np.zeros(1 << n, np.uint8) for k, n in TABLES.items()}
-        self.weights = np.full((8 * (len(ORDERS) * 2 + 1), len(ORDERS) + 1), 0.3)
+        self.weights = [np.full((8 * sets, len(ORDERS) + 1), 0.3) for sets in (len(ORDERS) * 2 + 1, 256)]
         self.map = np.tile(squash(np.linspace(-8, 8, BUCKETS)), (256, 1))
 
     def inputs(self, keys: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +190,18 @@ class Mixer:
         for d in range(8):
             bit = ((keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.float64)
             x, gate = self.inputs(keys, d)
-            logit = np.clip((x * self.weights[gate]).sum(axis=1), -11, 11)
+            gates = gate, last * 8 + d
+            sums = [np.clip(np.einsum("ij,ij->i", x, w[g]), -11, 11) for w, g in zip(self.weights, gates, strict=True)]
+            logit = (sums[0] + sums[1]) / 2
             p = squash(logit)
             refined, low, part = self.refine(logit, last)
             p_end = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
             out += np.log(np.where(bit > 0, p_end, 1 - p_end))
             if learn:
-                step = np.zeros_like(self.weights)
-                np.add.at(step, gate, (bit - p)[:, None] * x)
-                self.weights += learn * step / np.sqrt(np.maximum(1, np.bincount(gate, minlength=len(step))))[:, None]
+                for w, g, own in zip(self.weights, gates, sums, strict=True):
+                    step = np.zeros_like(w)
+                    np.add.at(step, g, (bit - squash(own))[:, None] * x)
+                    w += learn * step / np.sqrt(np.maximum(1, np.bincount(g, minlength=len(step))))[:, None]
                 near = low + (part > 0.5)
                 hits, ones = np.zeros_like(self.map), np.zeros_like(self.map)
                 np.add.at(hits, (last, near), 1)
@@ -194,15 +209,20 @@ class Mixer:
                 self.map += np.where(hits > 0, (ones - hits * self.map) / (hits + 30), 0)
         return out
 
+    def place(self, rows: list) -> None:
+        for r in rows:
+            own = slice(r.segment << SEGMENT, (r.segment + 1) << SEGMENT)
+            self.logits[r.order][own], self.levels[r.order][own] = np.frombuffer(r.logits, np.int16), np.frombuffer(r.levels, np.uint8)
+
     def train(self, texts: list[str | None], batch: int = 1024) -> None:
         if texts:
-            keys = six_grams([b" ".join(canonical(t)) for t in texts])[0]
+            keys = grams_of([b" ".join(canonical(t)) for t in texts])[0]
             for at in range(0, len(keys), batch):
                 self.bits(keys[at : at + batch], 0.02 / (1 + 3 * at / len(keys)))
 
 
 class Scorer:
-    """log10 probabilities of texts; bytes' costs are remembered by six-gram."""
+    """log10 probabilities of texts; bytes' costs are remembered by gram."""
 
     def __init__(self, mixer: Mixer):
         self.mixer = mixer
@@ -212,7 +232,7 @@ class Scorer:
         return np.concatenate([self.mixer.bits(keys[i : i + 65536]) for i in range(0, len(keys), 65536)]) / np.log(10) if len(keys) else np.zeros(0)
 
     def scores(self, parts: list[bytes]) -> np.ndarray:
-        keys, starts = six_grams(parts)
+        keys, starts = grams_of(parts)
         at = (mix(keys) >> np.uint64(64 - MEMORY)).astype(np.int64)
         missing = np.unique(keys[self.known[at] != keys])
         values = self.fresh(missing)
@@ -225,14 +245,13 @@ class Scorer:
 
 
 def fit_mixer(learn: DataFrame, key: str, text: str) -> Mixer:
-    spark = learn.sparkSession
-    sample = sample_keys(learn, key, SAMPLE)  # so many rows at most
-    grams = counted_grams(learn.join(F.broadcast(sample), key, "left_anti"), key, text, shuffle_width(spark))
+    sample = F.broadcast(sample_keys(learn, key, SAMPLE))  # so many rows at most
+    parts = [counted_grams(learn.join(sample, key, how), key, text, shuffle_width(learn.sparkSession), how == "left_semi") for how in ("left_anti", "left_semi")]
+    tables = predictors(slot_counts(parts[0].unionByName(parts[1]))).collect()  # of fixed size
     mixer = Mixer()
-    for r in predictors(slot_counts(grams)).collect():  # the tables, whose size is fixed
-        own = slice(r.segment << SEGMENT, (r.segment + 1) << SEGMENT)
-        mixer.logits[r.order][own], mixer.levels[r.order][own] = np.frombuffer(r.logits, np.int16), np.frombuffer(r.levels, np.uint8)
-    mixer.train([r[text] for r in learn.join(F.broadcast(sample), key, "left_semi").select(key, text).orderBy(key).collect()])
+    mixer.place([r for r in tables if not r.taught])
+    mixer.train([r[text] for r in learn.join(sample, key, "left_semi").select(key, text).orderBy(key).collect()])
+    mixer.place([r for r in tables if r.taught])
     return mixer
 
 
