@@ -171,15 +171,15 @@ def fit_network(documents: DataFrame, held_out: Column, text: str, key: str, lan
     return network
 
 
-def identify_languages(documents: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per document: key, held_out, lang_pred, score (the predicted language's probability, pooled over positions).
+def identify_languages(documents: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """Per document: key, the columns to keep, held_out, lang_pred, score (the predicted language's pooled probability).
 
     Learns from rows where held_out is false and lang is not null. A text that is null or has no letter gets "und" and
     score 0, and so does every text where there is nothing to learn from. Documents are labelled on their own: repeated
     rows get equal labels, ties go to the first language in order, further columns are not read.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit_network(documents, held_out, text, key, lang))
-    key_type = documents.schema[key].dataType.simpleString()
+    kept = [key, *(c for c in keep or [] if c != key)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = None
@@ -187,7 +187,9 @@ def identify_languages(documents: DataFrame, held_out: Column, text: str = "text
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 labeller = labeller or Labeller(model.value)
-                found = labeller.documents(batch.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[key, "held_out", "lang_pred", "score"])
+                found = labeller.documents(batch.column(batch.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*kept, "held_out", "lang_pred", "score"])
 
-    return documents.select(key, held_out.alias("held_out"), text).mapInArrow(run, f"{key} {key_type}, held_out boolean, lang_pred string, score double")
+    types = dict(documents.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "held_out boolean", "lang_pred string", "score double"])
+    return documents.select(*kept, held_out.alias("held_out"), F.col(text).alias("_text")).mapInArrow(run, schema)
