@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """A hint to collect the driver's garbage: Spark deletes shuffle files when nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of keys that may be broadcast; a longer list is joined by shuffling.
+BROADCAST_ROWS = 50_000
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df with a match in keys (unique, and cheap to count), which are broadcast if they are few."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """function over each Arrow batch; a batch without rows is skipped."""
 

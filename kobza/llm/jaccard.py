@@ -1,17 +1,17 @@
 """Exact Jaccard self-join on word shingles by a grouped prefix join, for components of linked documents.
 
-1. Every document's distinct shingles are hashed in blocks of documents, and the blocks' hashes are dealt by value, packed.
-   Each bucket counts in how many documents a shingle occurs and answers each block with its shared ones only: a shingle
-   of one document can't be part of an intersection. A document with too few shared shingles to reach the threshold
-   leaves; most do.
-2. Documents with equal sets form a class, which its smallest key stands for.
-3. Shingles are ordered by document count, rare ones first. Two sets that reach the threshold share one of the first
+1. Documents with equal sets form a class, which its smallest key stands for.
+2. Every document's distinct shingles are hashed in blocks of documents, and the blocks' hashes are dealt by value, packed.
+   Each bucket counts in how many classes a shingle occurs and answers each block with its shared ones only: a shingle
+   of one class can't be part of an intersection with another. A document with too few shared shingles to reach the
+   threshold leaves; most do.
+3. Shingles are ordered by class count, rare ones first. Two sets that reach the threshold share one of the first
    ``n - ceil(t * n) + 1``, the prefix. Representatives with identical prefixes and sizes form one group; posting lists
    from prefix shingles hold groups. Group pairs are filtered by size, then expanded, and members are verified.
 4. What is asked for is components, so a list is not expanded into all its pairs. In each round a list gives a few pivot
    documents, outside the component that has most of the list; a pivot is compared with every member of the list in
    another component, after which all its links in that list are known. A list is finished when its members that have
-   not been pivots are in one component: then no unknown link can join two. Pivots per round grow fourfold.
+   not been pivots are in one component: then no unknown link can join two. Pivots per round grow sixteenfold.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, shuffle_width
+from kobza.llm.common import durable, release, semi_join, shuffle_width
 from kobza.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
@@ -104,7 +104,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]
 
 
 def packed_blocks(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
-    """Rows of one block and bucket: per-document counts and the low 48 bits of the hashes. One row of each block also
+    """Rows of one block and bucket: documents with their set digests and counts, the low 48 bits of the hashes. One row of each block also
     has its keys, set sizes and set digests."""
     shift = np.uint64(max(0, 16 - bits))
 
@@ -128,42 +128,51 @@ def packed_blocks(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
             block = (partition << 32) | number
             rows = []
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                rows.append((int(bucket[a]), np.bincount(owner[a:b], minlength=len(sets)).astype(np.uint32).tobytes(), raw[a:b].tobytes(), None, None, None, None))
+            for a, b in zip(cuts, np.append(cuts[1:], len(bucket)) if len(cuts) else cuts, strict=True):
+                number = np.bincount(owner[a:b], minlength=len(sets))
+                has = np.flatnonzero(number)
+                rows.append((int(bucket[a]), has.astype(np.uint32).tobytes() + number[has].astype(np.uint32).tobytes(), digests[0][has].tobytes(), raw[a:b].tobytes(), None, None, None, None))
             home = block % (1 << bits)
             meta = keys.to_pylist(), sizes.tolist(), digests[0].view(np.int64).tolist(), digests[1].view(np.int64).tolist()
-            rows.append((home, None, None, *meta))
+            rows.append((home, None, None, None, *meta))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:3]), pa.array(columns[3], pa.list_(keys.type)), pa.array(columns[4], pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])],
-                names=["bucket", "block", "counts", "low", "keys", "sizes", "h1", "h2"],
+                [pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:4]), pa.array(columns[4], pa.list_(keys.type)), pa.array(columns[5], pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in columns[6:])],
+                names=["bucket", "block", "counts", "digests", "low", "keys", "sizes", "h1", "h2"],
             )
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"bucket int, block long, counts binary, low binary, keys array<{key_type}>, sizes array<int>, h1 array<long>, h2 array<long>")
+    return df.select(key, text).mapInArrow(run, f"bucket int, block long, counts binary, digests binary, low binary, keys array<{key_type}>, sizes array<int>, h1 array<long>, h2 array<long>")
 
 
 def answers(dealt: DataFrame, bits: int, key_type: str) -> DataFrame:
-    """Back to each block: owner, hash and document count of its shared shingles, and its keys."""
+    """Back to each block: owner, hash and class count of its shared shingles, and its keys."""
     top = max(0, bits - 16)
 
     def count(rows: pa.Table) -> pa.Table:
-        block, counts, low = rows["block"].to_pylist(), rows["counts"].to_pylist(), rows["low"].to_pylist()
+        block, counts, digests, low = (rows[c].to_pylist() for c in ("block", "counts", "digests", "low"))
         own = [i for i, c in enumerate(counts) if c is not None]
         out_owner, out_hash, out_df = ([None] * len(block) for _ in range(3))
         if own:
-            parts = []
+            parts, owners, sides = [], [], []
             for i in own:
                 raw = np.zeros((len(low[i]) // 6, 8), np.uint8)
                 raw[:, :6] = np.frombuffer(low[i], np.uint8).reshape(-1, 6)
                 parts.append(raw.view(np.uint64).ravel())
-            hashes = np.concatenate(parts) | np.uint64((rows["bucket"][0].as_py() >> top) << 48)
-            _, inverse, df = np.unique(hashes, return_inverse=True, return_counts=True)
-            df = df[inverse].astype(np.uint32)
+                has, number = np.frombuffer(counts[i], np.uint32).reshape(2, -1)
+                owners.append(np.repeat(has, number))
+                sides.append(np.repeat(np.frombuffer(digests[i], np.uint64), number))
+            hashes, side = np.concatenate(parts), np.concatenate(sides)
+            order = np.lexsort((side, hashes))
+            h, c = hashes[order], side[order]
+            new_hash = np.concatenate([[True], h[1:] != h[:-1]])
+            new_class = new_hash | np.concatenate([[True], c[1:] != c[:-1]])
+            group = np.cumsum(new_hash) - 1
+            df = np.empty(len(h), np.uint32)
+            df[order] = np.add.reduceat(new_class.astype(np.uint32), np.flatnonzero(new_hash))[group]
+            hashes |= np.uint64((rows["bucket"][0].as_py() >> top) << 48)
             at = 0
-            for i, part in zip(own, parts, strict=True):
-                number = np.frombuffer(counts[i], np.uint32)
-                owner = np.repeat(np.arange(len(number), dtype=np.uint32), number)
+            for i, part, owner in zip(own, parts, owners, strict=True):
                 shared = df[at : at + len(part)] > 1
                 out_owner[i], out_hash[i], out_df[i] = owner[shared].tobytes(), hashes[at : at + len(part)][shared].tobytes(), df[at : at + len(part)][shared].tobytes()
                 at += len(part)
@@ -230,9 +239,11 @@ def links(sets: DataFrame) -> DataFrame:
         expanded = groups.join(member, "grp").where("id <> a").select("a", "ca", F.col("id").alias("b"))
         if component is not None:
             expanded = expanded.join(component.withColumnRenamed("id", "b"), "b", "left").where("coalesce(component, b) <> ca")
-        pairs = expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-        right = wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+        pairs = durable(expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        needed = semi_join(wide, ids, ["id"])
+        left = needed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+        right = needed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
         verified = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("sa", "sb"))).where(f"100 * o >= {PERCENT} * (na + nb - o)").select("a", "b")
         fresh = durable(verified)
         used = chosen.select("f", F.col("a").alias("id"))
@@ -240,7 +251,8 @@ def links(sets: DataFrame) -> DataFrame:
         if not fresh.isEmpty():
             edges = fresh if component is None else fresh.unionByName(component.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b"))
             component = durable(connected_components(edges))
-        pivots *= 4
+        pivots *= 16
+        release(spark)
     if component is None:
         return spark.createDataFrame([], f"id {sets.schema['id'].dataType.simpleString()}, component {sets.schema['id'].dataType.simpleString()}")
     return component
@@ -254,12 +266,12 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     give a row. Further columns are not read. Keys must not be null.
     """
     profile = durable(profiles(df, key, text).withColumnRenamed(key, "_id"))
-    active = profile.where("shared is not null")
-    classes = durable(active.groupBy("n", "h1", "h2").agg(F.min("_id").alias("rep")))
-    first = active.join(classes, ["n", "h1", "h2"]).where("_id = rep").select(F.col("_id").alias("id"), "n", "shared", "prefix")
+    release(df.sparkSession)
+    narrow = profile.select("_id", "n", "h1", "h2", F.col("shared").isNotNull().alias("active"))
+    classes = durable(narrow.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("_id").alias("rep")))
+    first = profile.where("shared is not null").join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi")
     # Only sets that differ from another class's can link further; the rest of a class follows its representative.
-    component = links(durable(first.dropDuplicates(["id"])))
+    component = links(durable(first.select(F.col("_id").alias("id"), "n", "shared", "prefix").dropDuplicates(["id"])))
     named = classes.join(component, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_component"))
-    rest = profile.where("shared is null").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    linked = active.drop("shared").join(named, ["n", "h1", "h2"]).select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.col("_component").alias("component_id"))
-    return rest.unionByName(linked)
+    out = narrow.join(named, ["n", "h1", "h2"], "left")
+    return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
