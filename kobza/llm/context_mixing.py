@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, sample_keys, shuffle_width
+from kobza.llm.common import durable, release, sample_keys, shuffle_width
 from kobza.llm.jaccard import LOWER, PRIME, Shingler, blocks, mix
 
 #: Slots of each order's table, as powers of two; documents that teach the mixer; bits of a table segment.
@@ -98,7 +98,7 @@ def counted_grams(df: DataFrame, key: str, text: str, buckets: int, taught: bool
         bucket, keys, counts = bucket[order], keys[order], counts[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([planes(keys[a:b])], pa.binary()), pa.array([planes(counts[a:b])], pa.binary())], names=["bucket", "keys", "counts"])
 
     return df.select(key, text).mapInArrow(run, "bucket int, keys binary, counts binary").withColumn("taught", F.lit(taught))
 
@@ -112,7 +112,7 @@ def slot_counts(grams: DataFrame) -> DataFrame:
             part = rows.filter(pa.compute.equal(rows["taught"], taught))
             if not part.num_rows:
                 continue
-            keys, counts = (np.frombuffer(b"".join(part[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
+            keys, counts = (np.concatenate([from_planes(x, kind) for x in part[c].to_pylist()]) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
             own, number = merged(keys & np.uint64((1 << (8 * (order + 1))) - 1), counts)
             context, byte = context_of(own, order), own & np.uint64(255)
             slots, bits = [], []
@@ -123,7 +123,7 @@ def slot_counts(grams: DataFrame) -> DataFrame:
             segment = both >> (SEGMENT + 1)
             cuts = np.flatnonzero(np.diff(segment, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(both)], strict=True):
-                out.append((order, int(segment[a]), (both[a:b] & ((2 << SEGMENT) - 1)).astype(np.uint32).tobytes(), total[a:b].tobytes(), taught))
+                out.append((order, int(segment[a]), planes((both[a:b] & ((2 << SEGMENT) - 1)).astype(np.uint32)), planes(total[a:b]), taught))
         columns = list(zip(*out, strict=True))
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["order", "segment", "slots", "counts", "taught"])
 
@@ -139,7 +139,7 @@ def predictors(slots: DataFrame) -> DataFrame:
         for taught in (False, True):
             part = rows.filter(pa.compute.equal(rows["taught"], taught))
             for s, c in zip(part["slots"].to_pylist(), part["counts"].to_pylist(), strict=True):
-                total[np.frombuffer(s, np.uint32)] += np.frombuffer(c, np.int64)
+                total[from_planes(s, np.uint32)] += from_planes(c, np.int64)
             zeros, ones = total[::2], total[1::2]
             logit = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)) * 256, -3000, 3000).round().astype(np.int16)
             level = np.digitize(zeros + ones, [1, 2, 4, 16]).astype(np.uint8)
@@ -155,6 +155,16 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by byte place: sorted and small ones compress well like that."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 class Mixer:
     """Tables, mixer weights and the adaptive map."""
 
@@ -248,6 +258,7 @@ def fit_mixer(learn: DataFrame, key: str, text: str) -> Mixer:
     sample = F.broadcast(sample_keys(learn, key, SAMPLE))  # so many rows at most
     parts = [counted_grams(learn.join(sample, key, how), key, text, shuffle_width(learn.sparkSession), how == "left_semi") for how in ("left_anti", "left_semi")]
     tables = predictors(slot_counts(parts[0].unionByName(parts[1]))).collect()  # of fixed size
+    release(learn.sparkSession)
     mixer = Mixer()
     mixer.place([r for r in tables if not r.taught])
     mixer.train([r[text] for r in learn.join(sample, key, "left_semi").select(key, text).orderBy(key).collect()])
@@ -282,14 +293,14 @@ def scored_blocks(df: DataFrame, key: str, text: str, mixer, bits: int) -> DataF
             order = np.argsort(bucket[inverse], kind="stable")
             token, owner = inverse[order], owner[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.concatenate([cuts[1:], [len(bucket)]]).astype(np.int64)
+            ends = np.append(cuts[1:], len(bucket)) if len(cuts) else cuts
             token_cuts = np.searchsorted(bucket[token], bucket[cuts], "left")
             token_ends = np.searchsorted(bucket[token], bucket[cuts], "right")
             block = (partition << 32) | number
             rows = []
             for a, b, c, d in zip(cuts, ends, token_cuts, token_ends, strict=True):
                 kind = np.uint16 if b - a < 65536 else np.uint32
-                rows.append((int(bucket[a]), distinct[a:b].tobytes(), learned[a:b].tobytes(), np.bincount(owner[c:d], minlength=len(n)).astype(np.uint32).tobytes(), (token[c:d] - a).astype(kind).tobytes(), None, None, None, None))
+                rows.append((int(bucket[a]), planes(distinct[a:b]), planes(learned[a:b]), planes(np.bincount(owner[c:d], minlength=len(n)).astype(np.uint32)), planes((token[c:d] - a).astype(kind)), None, None, None, None))
             rows.append((block % (1 << bits), None, None, None, None, keys.to_pylist(), held.tolist(), (n + 1).tolist(), scorer.scores(parts).tolist()))
             columns = list(zip(*rows, strict=True))
             types = [pa.binary()] * 4 + [pa.list_(t) for t in (keys.type, pa.bool_(), pa.int64(), pa.float64())]
@@ -309,15 +320,15 @@ def block_sums(dealt: DataFrame, key_type: str) -> DataFrame:
         own = [i for i, w in enumerate(words) if w is not None]
         out: list[tuple] = [(None, None, None, 0)] * len(words)
         if own:
-            hashes = [np.frombuffer(words[i], np.uint64) for i in own]
+            hashes = [from_planes(words[i], np.uint64) for i in own]
             distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(learned[i], np.uint32) for i in own]), minlength=len(distinct))
+            total = np.bincount(inverse, weights=np.concatenate([from_planes(learned[i], np.uint32) for i in own]), minlength=len(distinct))
             at = 0
             for j, (i, h) in enumerate(zip(own, hashes, strict=True)):
                 c = total[inverse[at : at + len(h)]]
                 at += len(h)
-                number = np.frombuffer(counts[i], np.uint32)
-                token = np.frombuffer(tokens[i], np.uint16 if len(h) < 65536 else np.uint32)
+                number = from_planes(counts[i], np.uint32)
+                token = from_planes(tokens[i], np.uint16 if len(h) < 65536 else np.uint32)
                 has = np.flatnonzero(number)
                 starts = np.concatenate([[0], np.cumsum(number[has])[:-1]]).astype(np.int64)
                 logs, known = np.log10(c + 1)[token], (c > 0)[token].astype(np.int64)
