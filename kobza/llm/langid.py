@@ -126,6 +126,8 @@ class Network:
     def sums(self, words: list[bytes]) -> np.ndarray:
         """For each word, its positions' probabilities summed, then their number."""
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
+        if not self.languages:
+            return out
         for n, (x, at) in spans(words).items():
             for i in range(0, len(x), 4096):
                 part = self.label(x[i : i + 4096]).sum(axis=0)
