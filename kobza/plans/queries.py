@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kobza.functions import morphology as M
 from kobza.functions import text as T
 from kobza.functions import validators as V
+from kobza.operators.normalize import normalize_many
 from kobza.operators.segment import split_sentences, tokenize
 from kobza.operators.spans import summarize
 from kobza.sources.text import lines
@@ -78,7 +79,7 @@ def bare_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare numbers and Latin words in capitals as spans, counted in total, by severity and by category."""
     docs = read(spark, sf_dir, "documents")
     one = lambda pattern, category, severity: docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("text")).select("doc_id", F.lit(category).alias("category"), F.lit(severity).alias("severity"))
-    found = one(r"\b[0-9]+\b", "BareNumber", "Info").unionByName(one(r"\b[A-Z]{2,}\b", "ForeignWord", "Warning"))
+    found = one(r"(?<!\w)[0-9]+(?!\w)", "BareNumber", "Info").unionByName(one(r"(?<!\w)[A-Z]{2,}(?!\w)", "ForeignWord", "Warning"))
     return summarize(found)
 
 
@@ -92,9 +93,16 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.to_json("s")).alias("digest"))
 
 
+def normalized_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn in spoken form; equal turns are rewritten once."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return normalize_many(turns, "text", "spoken").select("conv_id", "turn", F.md5("spoken").alias("digest"), F.length("spoken").alias("n_chars"))
+
+
 QUERIES = [
     number_words, number_words_large, number_digits, number_cases, number_ordinals, transliterate, trimmed_lower, distinct_then_join, document_lines,
     luhn_numbers, isbn_issn_numbers, calendar_checks, bare_number_summary, document_tokens, document_sentences,
+    normalized_conversations,
 ]
 
 
