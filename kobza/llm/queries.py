@@ -13,6 +13,7 @@ from kobza.llm.context_mixing import score_texts
 from kobza.llm.cover_tree import near_duplicates
 from kobza.llm.jaccard import jaccard_components
 from kobza.llm.langid import identify_languages
+from kobza.llm.oracles import SQL
 from kobza.llm.packing import pack_documents
 from kobza.llm.quality import score_quality
 from kobza.llm.secrets import secret_digests
@@ -69,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -28,6 +28,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows of the same place, summed in the order of components."""
+    out = np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x * y
+    return out
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of a with rows of b of the same place, by the same order of operations for equal rows."""
-    return np.clip((unit(a) * unit(b)).sum(axis=1), -1.0, 1.0)
+    """Of rows of a with rows of b of the same place: the dot product by the root of both squares' product.
+
+    Rows are first scaled by powers of two, which changes no digit but keeps squares within range.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x for x in (a, b))
+    return np.clip(products(a, b) / np.sqrt(products(a, a) * products(b, b)), -1.0, 1.0)
