@@ -29,3 +29,20 @@ def match_map(text: Column, pattern: str, replace: Callable[[Column, Column], Co
     found = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(None).cast("string")))
     parts = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.concat(gap, F.when(m.isNull(), F.lit("")).otherwise(replace(m, gap))))
     return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+
+MATCH = "struct<start: int, stop: int, text: string>"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """All matches with their places in code points, stop exclusive: array<struct<start, stop, text>>."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("long"), m.alias("text")))
+    none = F.expr(f"cast(array() as array<{MATCH}>)")
+
+    def add(acc: Column, x: Column) -> Column:
+        start, stop = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["long"]
+        return F.when(x["long"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["text"].alias("text")))).alias("out")))
+
+    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
+    return F.when(text.rlike(pattern), walked).when(text.isNotNull(), none)

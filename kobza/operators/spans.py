@@ -37,8 +37,8 @@ def first_of_each(found: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def not_inside(found: DataFrame, holders: DataFrame, key: str, strictly: bool) -> DataFrame:
     """Rows whose span lies in none of the holders' of the same key (strictly: the same span doesn't count)."""
-    h = holders.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("stop").alias("_stop"))
-    inside = (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col("start")) & (F.col("_stop") >= F.col("stop"))
+    h = holders.select(F.col(key).alias("_holder"), F.col("start").alias("_start"), F.col("stop").alias("_stop"))
+    inside = (F.col(key) == F.col("_holder")) & (F.col("_start") <= F.col("start")) & (F.col("_stop") >= F.col("stop"))
     if strictly:
         inside &= (F.col("_start") < F.col("start")) | (F.col("_stop") > F.col("stop"))
     return found.join(h, inside, "left_anti")
