@@ -7,7 +7,8 @@
    threshold leaves; most do.
 3. Shingles are ordered by class count, rare ones first. Two sets that reach the threshold share one of the first
    ``n - ceil(t * n) + 1``, the prefix. Representatives with identical prefixes and sizes form one group; posting lists
-   from prefix shingles hold groups. Group pairs are filtered by size, then expanded, and members are verified.
+   from prefix shingles hold groups. Group pairs are filtered by size and by place (what two sets have behind the shared
+   shingle must suffice for the threshold), then expanded, and members are verified.
 4. What is asked for is components, so a list is not expanded into all its pairs. In each round a list gives a few pivot
    documents, outside the component that has most of the list; a pivot is compared with every member of the list in
    another component, after which all its links in that list are known. A list is finished when its members that have
@@ -91,6 +92,27 @@ class Shingler:
         return out
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    """The low six bytes of each number."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def from_short(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return raw.view(np.uint64).ravel()
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by byte place: sorted and small ones compress well like that."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     for batch in batches:
         texts, at, size = batch.column(1).to_pylist(), 0, 0
@@ -124,14 +146,14 @@ def packed_blocks(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
             bucket = (every >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket, owner, low = bucket[order], owner[order], ((every >> shift) & LOW)[order]
-            raw = np.ascontiguousarray(low).view(np.uint8).reshape(-1, 8)[:, :6]
+            raw = short(low)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
             block = (partition << 32) | number
             rows = []
             for a, b in zip(cuts, np.append(cuts[1:], len(bucket)) if len(cuts) else cuts, strict=True):
                 number = np.bincount(owner[a:b], minlength=len(sets))
                 has = np.flatnonzero(number)
-                rows.append((int(bucket[a]), has.astype(np.uint32).tobytes() + number[has].astype(np.uint32).tobytes(), digests[0][has].tobytes(), raw[a:b].tobytes(), None, None, None, None))
+                rows.append((int(bucket[a]), planes(np.concatenate([has, number[has]]).astype(np.uint32)), short(digests[0][has]).tobytes(), raw[a:b].tobytes(), None, None, None, None))
             home = block % (1 << bits)
             meta = keys.to_pylist(), sizes.tolist(), digests[0].view(np.int64).tolist(), digests[1].view(np.int64).tolist()
             rows.append((home, None, None, None, *meta))
@@ -156,12 +178,10 @@ def answers(dealt: DataFrame, bits: int, key_type: str) -> DataFrame:
         if own:
             parts, owners, sides = [], [], []
             for i in own:
-                raw = np.zeros((len(low[i]) // 6, 8), np.uint8)
-                raw[:, :6] = np.frombuffer(low[i], np.uint8).reshape(-1, 6)
-                parts.append(raw.view(np.uint64).ravel())
-                has, number = np.frombuffer(counts[i], np.uint32).reshape(2, -1)
+                parts.append(from_short(low[i]))
+                has, number = from_planes(counts[i], np.uint32).reshape(2, -1)
                 owners.append(np.repeat(has, number))
-                sides.append(np.repeat(np.frombuffer(digests[i], np.uint64), number))
+                sides.append(np.repeat(from_short(digests[i]), number))
             hashes, side = np.concatenate(parts), np.concatenate(sides)
             order = np.lexsort((side, hashes))
             h, c = hashes[order], side[order]
@@ -174,7 +194,7 @@ def answers(dealt: DataFrame, bits: int, key_type: str) -> DataFrame:
             at = 0
             for i, part, owner in zip(own, parts, owners, strict=True):
                 shared = df[at : at + len(part)] > 1
-                out_owner[i], out_hash[i], out_df[i] = owner[shared].tobytes(), hashes[at : at + len(part)][shared].tobytes(), df[at : at + len(part)][shared].tobytes()
+                out_owner[i], out_hash[i], out_df[i] = planes(owner[shared]), hashes[at : at + len(part)][shared].tobytes(), planes(df[at : at + len(part)][shared])
                 at += len(part)
         table = pa.table([pa.array(block, pa.int64()), *(pa.array(c, pa.binary()) for c in (out_owner, out_hash, out_df)), *(rows[c].combine_chunks() for c in ("keys", "sizes", "h1", "h2"))], names=["block", "owner", "hash", "df", "keys", "sizes", "h1", "h2"])
         has = [k is not None or bool(h) for k, h in zip(table["keys"].to_pylist(), out_hash, strict=True)]
@@ -186,13 +206,13 @@ def answers(dealt: DataFrame, bits: int, key_type: str) -> DataFrame:
 def profiles(df: DataFrame, key: str, text: str) -> DataFrame:
     """Per document: key, n, h1, h2, shared (its shared shingles in prefix order; null if it can't have a link), prefix (how
     many of these are in the prefix)."""
-    bits = max(5, min(22, (2 * shuffle_width(df.sparkSession) - 1).bit_length()))
+    bits = max(4, min(22, (shuffle_width(df.sparkSession) - 1).bit_length()))
     key_type = df.schema[key].dataType.simpleString()
 
     def gather(rows: pa.Table) -> pa.Table:
         meta = next(r for r in rows.select(["keys", "sizes", "h1", "h2"]).to_pylist() if r["keys"] is not None)
-        join = lambda c, kind: np.frombuffer(b"".join(x for x in rows[c].to_pylist() if x), kind)
-        owner, hashes, df_ = join("owner", np.uint32), join("hash", np.uint64), join("df", np.uint32)
+        owner, df_ = (np.concatenate([np.zeros(0, np.uint32), *(from_planes(x, np.uint32) for x in rows[c].to_pylist() if x)]) for c in ("owner", "df"))
+        hashes = np.frombuffer(b"".join(x for x in rows["hash"].to_pylist() if x), np.uint64)
         n = np.array(meta["sizes"], np.int64)
         order = np.lexsort((hashes, df_, owner))
         hashes, bounds = hashes[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))])
@@ -214,7 +234,9 @@ def links(sets: DataFrame) -> DataFrame:
     keyed = prefixed.withColumn("h", F.xxhash64("tokens")).withColumn("g", F.struct("n", "h", F.size("tokens")))
     named = keyed.groupBy("g").agg(F.min("id").alias("grp"))
     members = durable(keyed.join(named, "g").select("grp", "id", "n", (F.col("id") == F.col("grp")).alias("first"), F.when(F.col("id") == F.col("grp"), F.col("tokens")).alias("tokens")))
-    postings = durable(members.where("first").select("grp", "n", F.explode("tokens").alias("f")))
+    # room: how many shared shingles a set has from this one on; each overlap that begins here has at most so many.
+    reach = (F.size("tokens") + F.ceil(F.col("n") * PERCENT / 100) - 1).cast("int")
+    postings = durable(members.where("first").select("grp", "n", reach.alias("reach"), F.posexplode("tokens").alias("place", "f")).select("grp", "n", "f", (F.col("reach") - F.col("place")).alias("room")))
     member = members.select("grp", "id")
     several = postings.groupBy("f").agg(F.count("*").alias("k"), F.max("grp").alias("some")).join(member.groupBy("grp").agg(F.count("*").alias("m")), F.col("some") == F.col("grp")).where("k > 1 or m > 1").select("f")
     # A list row is a group; lists of one document are of no use.
@@ -231,11 +253,13 @@ def links(sets: DataFrame) -> DataFrame:
         # In the first round every document is a component, and the main one of a list is any of them.
         outside = open_rows.join(main, "f").where("c <> main")
         salt = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
-        chosen = durable(outside.groupBy("f", salt.alias("s")).agg(F.min(F.struct("id", "n", "c")).alias("p")).select("f", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca")))
+        chosen = durable(outside.groupBy("f", salt.alias("s")).agg(F.min(F.struct("id", "n", "c", "room")).alias("p")).select("f", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca"), F.col("p.room").alias("ra")))
         if chosen.isEmpty():
             break
-        # Group pairs pass the size filter before their members are expanded.
-        groups = chosen.join(lists, "f").where(f"100 * least(n, na) >= {PERCENT} * greatest(n, na)").select("a", "ca", "grp").distinct()
+        # Group pairs pass the filters of size and place before their members are expanded.
+        other = lists.select(F.col("f").alias("_f"), "grp", "n", "room")
+        near = F.expr(f"f = _f and 100 * least(n, na) >= {PERCENT} * greatest(n, na) and {100 + PERCENT} * least(room, ra) >= {PERCENT} * (n + na)")
+        groups = chosen.join(other, near).select("a", "ca", "grp").distinct()
         expanded = groups.join(member, "grp").where("id <> a").select("a", "ca", F.col("id").alias("b"))
         if component is not None:
             expanded = expanded.join(component.withColumnRenamed("id", "b"), "b", "left").where("coalesce(component, b) <> ca")
@@ -269,7 +293,8 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     release(df.sparkSession)
     narrow = profile.select("_id", "n", "h1", "h2", F.col("shared").isNotNull().alias("active"))
     classes = durable(narrow.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("_id").alias("rep")))
-    first = profile.where("shared is not null").join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi")
+    reps = durable(narrow.where("active").join(classes, ["n", "h1", "h2"]).where("_id = rep").select("_id").distinct())
+    first = semi_join(profile.where("shared is not null"), reps, ["_id"])
     # Only sets that differ from another class's can link further; the rest of a class follows its representative.
     component = links(durable(first.select(F.col("_id").alias("id"), "n", "shared", "prefix").dropDuplicates(["id"])))
     named = classes.join(component, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("_component"))
