@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kobza.llm.common import durable, release, sample_keys, shuffle_width
-from kobza.llm.jaccard import LOWER, PRIME, Shingler, blocks, mix
+from kobza.llm.jaccard import LOWER, PRIME, Shingler, blocks, from_planes, mix, planes
 
 #: Slots of each order's table, as powers of two; documents that teach the mixer; bits of a table segment.
 TABLES, SAMPLE, SEGMENT = {1: 20, 2: 20, 3: 20, 4: 22, 5: 22, 7: 22}, 256, 16
@@ -155,16 +155,6 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers by byte place: sorted and small ones compress well like that."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def from_planes(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 class Mixer:
     """Tables, mixer weights and the adaptive map."""
 
