@@ -2,9 +2,9 @@
 
 Vectors are scaled to length one, so that a cosine threshold is a distance threshold. Equal vectors are one point with a
 weight. Points are dealt to cells of the nearest of a few sampled pivots and cells are cut into shards of bounded size;
-two cells whose covering radii keep them farther apart than the threshold are no pair. For each pair of shards left a
-task builds both cover trees (nested levels, each with half the radius of the one above) and walks pairs of nodes:
-a pair is pruned when the distance of its centres exceeds the threshold by more than both covering radii, taken whole when
+two cells whose covering radii keep them farther apart than the threshold are no pair. Each shard's cover tree is built
+once (nested levels, each with half the radius of the one above), and for each pair of shards left a task walks pairs of
+nodes of both trees: a pair is pruned when the distance of its centres exceeds the threshold by more than both covering radii, taken whole when
 even the farthest two members are within it, and otherwise split. Single pairs are decided by their cosine in double
 precision. Links are counted where they are found and handed on as a spanning forest, never as all pairs.
 """
@@ -41,6 +41,22 @@ class CoverTree:
         self.centre, self.radius = np.array(self.centre, np.int64), np.array(self.radius)
         self.child, self.member = np.array(self.child, np.int64).reshape(-1, 2), np.array(self.member, np.int64).reshape(-1, 2)
 
+    def packed(self) -> bytes:
+        """The nodes without the points."""
+        whole = np.concatenate([[len(self.centre), *self.roots], self.order, self.centre, self.child.ravel(), self.member.ravel()])
+        return whole.astype(np.int32).tobytes() + self.radius.tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, points: np.ndarray) -> CoverTree:
+        tree = cls.__new__(cls)
+        k, first, last = np.frombuffer(data, np.int32, 3).tolist()
+        n = len(points)
+        numbers = np.frombuffer(data, np.int32, n + 5 * k, offset=12).astype(np.int64)
+        tree.points, tree.roots, tree.order = points, (first, last), numbers[:n]
+        tree.centre, tree.child, tree.member = numbers[n : n + k], numbers[n + k : n + 3 * k].reshape(-1, 2), numbers[n + 3 * k :].reshape(-1, 2)
+        tree.radius = np.frombuffer(data, np.float64, k, offset=12 + 4 * (n + 5 * k))
+        return tree
+
     def centres_of(self, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Greedy cover of the points: places of the centres in own, and each point's centre."""
         x = self.points[own]
@@ -138,7 +154,7 @@ def dual_traversal(a: CoverTree, b: CoverTree, same: bool, exact_a: np.ndarray,
         if single.any():
             u, v = a.centre[na[single]], b.centre[nb[single]]
             if same:
-                apart = u < v
+                apart = u != v
                 u, v = u[apart], v[apart]
             near = cosines(exact_a[u], exact_b[v]) >= threshold if len(u) else np.zeros(0, bool)
             links.pairs(u[near], v[near] + shift)
@@ -170,11 +186,14 @@ def dual_traversal(a: CoverTree, b: CoverTree, same: bool, exact_a: np.ndarray,
 
     stack: list[tuple[np.ndarray, np.ndarray]] = []
     roots_a, roots_b = np.arange(*a.roots), np.arange(*b.roots)
-    rows = max(1, FRONTIER // max(1, len(roots_b)))
+    rows = max(1, 4 * FRONTIER // max(1, len(roots_b)))
+    coarse_a, coarse_b = (t.points[t.centre[r]].astype(np.float32) for t, r in ((a, roots_a), (b, roots_b)))
+    widest = a.radius[roots_a].max(initial=0.0) + b.radius[roots_b].max(initial=0.0)
+    # In single precision and for the widest nodes; the walk decides each pair by its own radii.
+    least = np.float32(1 - (reach + widest) ** 2 / 2 - 1e-4)
     for at in range(0, len(roots_a), rows):
         own = roots_a[at : at + rows]
-        g = a.points[a.centre[own]] @ b.points[b.centre[roots_b]].T
-        i, j = np.nonzero(np.sqrt(np.maximum(0, 2 - 2 * g)) <= reach + a.radius[own][:, None] + b.radius[roots_b][None, :] + SLACK)
+        i, j = np.nonzero(coarse_a[at : at + rows] @ coarse_b.T >= least)
         if same:
             apart = own[i] <= roots_b[j]
             i, j = i[apart], j[apart]
@@ -195,15 +214,15 @@ def merge_small(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.nda
 
 
 def packed_shards(points: DataFrame, kind: str) -> DataFrame:
-    """One row a shard: its ids, weights and vectors. points: shard columns cell and part, id, weight, vector."""
+    """One row a shard: its ids, weights, vectors and tree. points: shard columns cell and part, id, weight, vector."""
     dtype = np.float32 if "float" in kind else np.float64
 
     def run(rows: pa.Table) -> pa.Table:
         x = matrix(rows["vector"]).astype(dtype)
-        return pa.table([rows["cell"][:1].combine_chunks(), rows["part"][:1].combine_chunks(), pa.array([rows["id"].to_pylist()], pa.list_(rows["id"].type)), pa.array([rows["weight"].to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["cell", "part", "ids", "weights", "vectors"])
+        return pa.table([rows["cell"][:1].combine_chunks(), rows["part"][:1].combine_chunks(), pa.array([rows["id"].to_pylist()], pa.list_(rows["id"].type)), pa.array([rows["weight"].to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([CoverTree(unit(x.astype(np.float64))).packed()], pa.binary())], names=["cell", "part", "ids", "weights", "vectors", "tree"])
 
     id_type = points.schema["id"].dataType.simpleString()
-    return points.groupBy("cell", "part").applyInArrow(run, f"cell int, part int, ids array<{id_type}>, weights array<long>, vectors binary")
+    return points.groupBy("cell", "part").applyInArrow(run, f"cell int, part int, ids array<{id_type}>, weights array<long>, vectors binary, tree binary")
 
 
 def nearest_cells(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -261,13 +280,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embed
     partners = spark.createDataFrame([(c, e, parts[e]) for c, e in allowed] + [(e, c, parts[c]) for c, e in allowed if c != e], "cell int, other int, parts int")
     dealt = packs.join(F.broadcast(partners), "cell").withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     me, you = F.struct("cell", "part"), F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
-    dealt = dealt.select(F.least(me, you).alias("one"), F.greatest(me, you).alias("two"), (me == F.least(me, you)).alias("is_one"), "ids", "weights", "vectors")
+    dealt = dealt.select(F.least(me, you).alias("one"), F.greatest(me, you).alias("two"), (me == F.least(me, you)).alias("is_one"), "ids", "weights", "vectors", "tree")
     dtype = np.float32 if "float" in dict(near.dtypes)["vector"] else np.float64
 
     def run(table: pa.Table) -> pa.Table:
         shards = sorted(table.to_pylist(), key=lambda r: not r["is_one"])
         exact = [np.frombuffer(s["vectors"], dtype).reshape(len(s["ids"]), -1).astype(np.float64) for s in shards]
-        trees = [CoverTree(unit(x)) for x in exact]
+        trees = [CoverTree.unpacked(s["tree"], unit(x)) for s, x in zip(shards, exact, strict=True)]
         ids, weights = ([v for s in shards for v in s[c]] for c in ("ids", "weights"))
         links = Links(np.array(ids), np.array(weights, np.int64))
         dual_traversal(trees[0], trees[-1], len(trees) == 1, exact[0], exact[-1], threshold, links)
