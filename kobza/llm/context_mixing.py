@@ -36,6 +36,7 @@ TABLES, SAMPLE, SEGMENT = {1: 20, 2: 20, 3: 20, 4: 22, 5: 22}, 256, 16
 ORDERS = list(TABLES)
 DEPTH = max(ORDERS)
 END = b"\n"
+BLOCK = 3 << 19  # characters of a block; each has some hundred bytes of intermediate numbers
 #: Sequences of a byte and its context that one task remembers, as a power of two.
 MEMORY = 21
 LEVELS = 5  # how often a slot was seen: never, once, up to 3, up to 15, more
@@ -83,11 +84,11 @@ def counted_grams(df: DataFrame, key: str, text: str, buckets: int, taught: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for _, texts in blocks(batches):
+        for _, texts in blocks(batches, BLOCK):
             found, number = np.unique(grams_of([b" ".join(canonical(t)) for t in texts])[0], return_counts=True)
             waiting.append((found, number))
             size += len(found)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 keys, counts = merged(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
                 waiting, size = [], 0
         keys, counts = merged(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
@@ -266,7 +267,7 @@ def scored_blocks(df: DataFrame, key: str, text: str, mixer, bits: int) -> DataF
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
                 held, at = batch.column(2), 0
-                for keys, texts in blocks(iter([batch])):
+                for keys, texts in blocks(iter([batch]), BLOCK):
                     yield keys, held.slice(at, len(keys)).to_numpy(zero_copy_only=False), texts
                     at += len(keys)
 

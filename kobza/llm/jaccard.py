@@ -113,11 +113,11 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+def blocks(batches: Iterator[pa.RecordBatch], longest: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, list]]:
     for batch in batches:
         texts, at, size = batch.column(1).to_pylist(), 0, 0
         for i, t in enumerate(texts):
-            if i > at and (i - at == BLOCK_ROWS or size + len(t or "") > BLOCK_BYTES):
+            if i > at and (i - at == BLOCK_ROWS or size + len(t or "") > longest):
                 yield batch.column(0).slice(at, i - at), texts[at:i]
                 at, size = i, 0
             size += len(t or "")
