@@ -3,18 +3,20 @@
 A text is read as its words, lower-cased over A-Z and joined by single spaces, and one end symbol; the model gives every
 bit of every byte a probability, so a text's is a product and sums to one over all texts.
 
-* Bit predictors: for each order from 1 to 5 the last bytes and the bits of the present one are hashed to a slot of a
-  table of fixed size, which counts zeros and ones over all learning documents. The tables' size is the bound on what is
-  broadcast; what is counted and shuffled grows with the corpus.
+* Bit predictors: for each order from 1 to 5 the last bytes and the bits of the present one are the key of a count of
+  zeros and ones over all learning documents. Counts are exact: no two contexts share one. They are dealt out by the last
+  three bytes of the context and never gathered, so they grow with the corpus; only those of orders 1 and 2, which all
+  buckets need, are broadcast (at most 2^24 by their form).
 * Mixer: the predictors' logits are summed with weights from two sets, each chosen by a gate, and the two sums are
   averaged. One gate is the bit's place and the highest order that has seen the context often, seldom or never, the other
-  the bit's place and the last byte. Weights are learned online on a bounded sample of learning documents, against tables
-  that leave the sample out, so that predictors don't meet what they have counted; scores use the tables of all.
-* Refinement: an adaptive probability map from the mixer's logit and the last byte, learned online with the mixer; the
+  the bit's place and the last byte. A bounded sample of learning documents teaches it, against counts without the
+  sample, so that predictors don't meet what they have counted. Each bucket learns online; then weights
+  are averaged by the number of bits that chose them, and the next round starts from these.
+* Refinement: an adaptive probability map from the mixer's logit and the last byte, counted while the mixer learns; the
   result is the mean of both.
 
-For scoring the model is frozen. The probability of a byte then depends on the five bytes before it alone, and each task
-remembers it by these six bytes.
+For scoring the model is frozen. The probability of a byte then depends on the five bytes before it alone, so it is found
+once for each distinct sequence of six bytes, where its counts are, and sent to the documents that have it.
 """
 
 from __future__ import annotations
@@ -23,35 +25,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kobza.llm.common import durable, release, sample_keys, shuffle_width
-from kobza.llm.jaccard import LOWER, PRIME, Shingler, blocks, from_planes, mix, planes
+from kobza.llm.jaccard import LOWER, Shingler, blocks, from_planes, mix, planes
 
-#: Slots of each order's table, as powers of two; documents that teach the mixer; bits of a table segment.
-TABLES, SAMPLE, SEGMENT = {1: 20, 2: 20, 3: 20, 4: 22, 5: 22}, 256, 16
-ORDERS = list(TABLES)
+ORDERS = [1, 2, 3, 4, 5]
 DEPTH = max(ORDERS)
+#: Orders up to this one have their counts broadcast; parts in which they are added up.
+LOW, LOW_PARTS = 2, 16
+#: Documents that teach the mixer; folds of the learning documents (the first are these), and rounds of learning.
+SAMPLE, FOLDS, ROUNDS = 256, 2, 2
 END = b"\n"
 BLOCK = 3 << 19  # characters of a block; each has some hundred bytes of intermediate numbers
-#: Sequences of a byte and its context that one task remembers, as a power of two.
-MEMORY = 21
-LEVELS = 5  # how often a slot was seen: never, once, up to 3, up to 15, more
+SOURCE = 8 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
+LEVELS = 5  # how often a context was seen: never, once, up to 3, up to 15, more
 BUCKETS = 33  # of the adaptive map, by logit
-PRIOR = 0.05  # zeros and ones that a slot has before any is counted
+PRIOR = 0.05  # zeros and ones that a context has before any is counted
+START, RATE, HITS = 0.3, 0.03, 30  # weights at the start, step of learning, and bits that the start counts as
+SETS = [len(ORDERS) * 2 + 1, 256]
+MAP = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS))), (256, 1))
 
 
 def canonical(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
 
-def slot(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (mix(context * np.uint64(256) + node + np.uint64(order * PRIME & (1 << 64) - 1)) >> np.uint64(64 - TABLES[order])).astype(np.int64)
-
-
 def context_of(keys: np.ndarray, order: int) -> np.ndarray:
     return (keys >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
 
@@ -69,213 +70,332 @@ def grams_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+def pack(x: np.ndarray | bytes) -> bytes:
+    """Compressed, as checkpoints are not; numbers by byte place."""
+    data = x if isinstance(x, bytes) else planes(x)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
 
 
-def counted_grams(df: DataFrame, key: str, text: str, buckets: int, taught: bool) -> DataFrame:
-    """Each task's grams and counts, packed by bucket of the last three context bytes. taught: whether these documents
-    teach the mixer."""
+def unpack(data: bytes, kind: type = bytes):
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return raw if kind is bytes else from_planes(raw, kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for _, texts in blocks(batches, BLOCK):
-            found, number = np.unique(grams_of([b" ".join(canonical(t)) for t in texts])[0], return_counts=True)
-            waiting.append((found, number))
-            size += len(found)
-            if size > 1 << 21:
-                keys, counts = merged(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
-                waiting, size = [], 0
-        keys, counts = merged(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
-        if not len(keys):
-            return
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their counts (one row each) added up, and each key's place among them."""
+    order = np.argsort(keys)
+    first = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    return keys[order[starts]], np.add.reduceat(counts[order], starts, axis=0) if len(keys) else counts, at
+
+
+def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    """Per source (some documents of a task): their texts, and by bucket of the last three context bytes the distinct grams,
+    with counts by fold of learning documents."""
+
+    def counted(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = [], []
+        for fold, found, number in waiting:
+            keys.append(found)
+            counts.append(np.zeros((len(found), FOLDS), np.int64))
+            if fold < FOLDS:
+                counts[-1][:, fold] = number
+        return merged(np.concatenate(keys), np.concatenate(counts))[:2]
+
+    def packed(source: int, waiting: list[tuple]) -> Iterator[tuple]:
+        keys, counts = counted(waiting)
         bucket = (mix(context_of(keys, 3)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        bucket, keys, counts = bucket[order], keys[order], counts[order]
+        bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint32)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([planes(keys[a:b])], pa.binary()), pa.array([planes(counts[a:b])], pa.binary())], names=["bucket", "keys", "counts"])
-
-    return df.select(key, text).mapInArrow(run, "bucket int, keys binary, counts binary").withColumn("taught", F.lit(taught))
+            yield source, int(bucket[a]), pack(keys[a:b]), pack(counts[a:b].ravel()), None, None, None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, waiting, size, kind = TaskContext.get().partitionId() << 32, [], 0, None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.list_(kind), pa.list_(pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["source", "bucket", "grams", "counts", "texts", "keys", "held"])
+
+        for batch in batches:
+            at, kind = 0, batch.schema.field(0).type
+            for keys, texts in blocks(iter([batch]), BLOCK):
+                parts = [b" ".join(canonical(t)) for t in texts]
+                held, fold = (batch.column(i).slice(at, len(keys)).to_numpy(zero_copy_only=False) for i in (2, 3))
+                at += len(keys)
+                yield batch_of([(source, None, None, None, pack(END.join(parts)), keys.to_pylist(), held.tolist())])
+                fold = np.where(held.astype(bool), FOLDS, fold)
+                for f in np.unique(fold):
+                    own = [parts[i] for i in np.flatnonzero(fold == f)]
+                    waiting.append((int(f), *np.unique(grams_of(own)[0], return_counts=True)))
+                size += sum(map(len, parts)) + len(parts)
+                if size > SOURCE:
+                    for row in packed(source, waiting):
+                        yield batch_of([row])
+                    source, waiting, size = source + 1, [], 0
+        if waiting:
+            for row in packed(source, waiting):
+                yield batch_of([row])
 
-def slot_counts(grams: DataFrame) -> DataFrame:
-    """Per order and segment of its table: slots with zeros and ones."""
-
-    def run(rows: pa.Table) -> pa.Table:
+    key_type = df.schema[key].dataType.simpleString()
+    return df.select(key, text, "held_out", "fold").mapInArrow(run, f"source long, bucket int, grams binary, counts binary, texts binary, keys array<{key_type}>, held array<boolean>")
+
+
+def counts_of(data: bytes) -> np.ndarray:
+    return unpack(data, np.uint32).reshape(-1, FOLDS).astype(np.int64)
+
+
+def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of order LOW with their counts by fold, over all sources."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros((0, FOLDS), np.int64)
+        for batch in batches:
+            for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, number, _ = merged(unpack(g, np.uint64) & mask(LOW), counts_of(c))
+                keys, counts, _ = merged(np.concatenate([keys, own]), np.concatenate([counts, number]))
+        where = mix(keys) % np.uint64(LOW_PARTS)
+        rows = [(k, planes(keys[own]), counts[own].tobytes()) for k in range(LOW_PARTS) if (own := where == k).any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "grams", "counts"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        keys, counts, _ = merged(np.concatenate([from_planes(x, np.uint64) for x in rows["grams"].to_pylist()]), np.concatenate([np.frombuffer(x, np.int64).reshape(-1, FOLDS) for x in rows["counts"].to_pylist()]))
+        return pa.table([pa.array([planes(keys)], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["grams", "counts"])
+
+    found = grams.select("grams", "counts").mapInArrow(part, "part int, grams binary, counts binary").groupBy("part").applyInArrow(total, "grams binary, counts binary").collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(from_planes(r.grams, np.uint64) for r in found)])
+    counts = np.concatenate([np.zeros((0, FOLDS), np.int64), *(np.frombuffer(r["counts"], np.int64).reshape(-1, FOLDS) for r in found)])
+    return merged(keys, counts)[:2]
+
+
+def mask(order: int) -> np.uint64:
+    return np.uint64((1 << (8 * (order + 1))) - 1)
+
+
+class Counts:
+    """Exact counts, by fold, of every context of the distinct grams of one bucket."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts, self.grams, self.at = keys, counts, {}, {}
+        self.last = context_of(keys, 1).astype(np.int64)
+        for k in ORDERS:
+            own = keys & mask(k)
+            if k > LOW:
+                distinct, total, self.at[k] = merged(own, counts)
+            else:
+                every, total, _ = merged(low[0] & mask(k), low[1])
+                context = every >> np.uint64(8)
+                used = np.isin(context, np.unique(own >> np.uint64(8)))
+                distinct, total = every[used], total[used]
+                self.at[k] = np.searchsorted(distinct, own)
+            self.grams[k] = distinct, total
+
+    def bits(self, d: int) -> np.ndarray:
+        return ((self.keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.float64)
+
+    def seen(self, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones of bit d in each context of order k with the byte's bits before, by fold."""
+        keys, total = self.grams[k]
+        before = keys >> np.uint64(8 - d)
+        first = np.concatenate([[True], before[1:] != before[:-1]])
+        run, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        bit = ((keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.int64)
+        ones = np.add.reduceat(total * bit[:, None], starts, axis=0)
+        return (np.add.reduceat(total, starts, axis=0) - ones)[run], ones[run]
+
+    def tables(self, d: int, fold: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per order: logits and levels of bit d in the distinct grams of that order, without a fold if one is given."""
         out = []
-        for order, taught in [(k, t) for k in ORDERS for t in (False, True)]:
-            part = rows.filter(pa.compute.equal(rows["taught"], taught))
-            if not part.num_rows:
-                continue
-            keys, counts = (np.concatenate([from_planes(x, kind) for x in part[c].to_pylist()]) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
-            own, number = merged(keys & np.uint64((1 << (8 * (order + 1))) - 1), counts)
-            context, byte = context_of(own, order), own & np.uint64(255)
-            slots, bits = [], []
-            for d in range(8):
-                slots.append(slot(order, context, (np.uint64(1 << d) | (byte >> np.uint64(8 - d)))))
-                bits.append(((byte >> np.uint64(7 - d)) & np.uint64(1)).astype(np.int64))
-            both, total = merged(np.concatenate(slots) * 2 + np.concatenate(bits), np.tile(number, 8))
-            segment = both >> (SEGMENT + 1)
-            cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(both)], strict=True):
-                out.append((order, int(segment[a]), planes((both[a:b] & ((2 << SEGMENT) - 1)).astype(np.uint32)), planes(total[a:b]), taught))
-        columns = list(zip(*out, strict=True))
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["order", "segment", "slots", "counts", "taught"])
-
-    return grams.groupBy("bucket").applyInArrow(run, "order int, segment int, slots binary, counts binary, taught boolean")
-
-
-def predictors(slots: DataFrame) -> DataFrame:
-    """Per order and segment: each slot's logit (in 256ths) and how often it was seen, without the taught documents
-    (taught: false) and with them."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        total, out = np.zeros(2 << SEGMENT), []
-        for taught in (False, True):
-            part = rows.filter(pa.compute.equal(rows["taught"], taught))
-            for s, c in zip(part["slots"].to_pylist(), part["counts"].to_pylist(), strict=True):
-                total[from_planes(s, np.uint32)] += from_planes(c, np.int64)
-            zeros, ones = total[::2], total[1::2]
-            logit = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)) * 256, -3000, 3000).round().astype(np.int16)
-            level = np.digitize(zeros + ones, [1, 2, 4, 16]).astype(np.uint8)
-            out.append((logit.tobytes(), level.tobytes(), taught))
-        columns = list(zip(*out, strict=True))
-        place = [pa.array([rows[c][0].as_py()] * 2, pa.int32()) for c in ("order", "segment")]
-        return pa.table([*place, pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2])], names=["order", "segment", "logits", "levels", "taught"])
+        for k in ORDERS:
+            zeros, ones = (c.sum(1) - (0 if fold is None else c[:, fold]) for c in self.seen(k, d))
+            out.append((np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -11.7, 11.7), np.digitize(zeros + ones, [1, 2, 4, 16])))
+        return out
 
-    return slots.groupBy("order", "segment").applyInArrow(run, "order int, segment int, logits binary, levels binary, taught boolean")
+    def inputs(self, rows: np.ndarray, tables: list, d: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Logits of all orders with a constant, and the weight row of each set, for bit d of the grams."""
+        x, gate = np.empty((len(rows), len(ORDERS) + 1)), np.zeros(len(rows), np.int64)
+        x[:, -1] = 0.3
+        for i, (k, (logits, levels)) in enumerate(zip(ORDERS, tables, strict=True)):
+            at = self.at[k][rows]
+            x[:, i], level = logits[at], levels[at]
+            gate = np.where(level >= LEVELS - 2, 2 * i + 2, np.where(level > 0, 2 * i + 1, gate))
+        return x, [d * SETS[0] + gate, self.last[rows] * 8 + d]
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, v, n) for v in values.T], axis=1)
+
+
 class Mixer:
-    """Tables, mixer weights and the adaptive map."""
+    """Mixer weights and the adaptive map."""
 
     def __init__(self) -> None:
-        self.logits = {k: np.zeros(1 << n, np.int16) for k, n in TABLES.items()}
-        self.levels = {k: np.zeros(1 << n, np.uint8) for k, n in TABLES.items()}
-        self.weights = [np.full((8 * sets, len(ORDERS) + 1), 0.3) for sets in (len(ORDERS) * 2 + 1, 256)]
-        self.map = np.tile(squash(np.linspace(-8, 8, BUCKETS)), (256, 1))
-
-    def inputs(self, keys: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all orders with a constant, and the gate's weight set, for bit d of each key."""
-        byte = keys & np.uint64(255)
-        node = np.uint64(1 << d) | (byte >> np.uint64(8 - d))
-        x, gate = np.empty((len(keys), len(ORDERS) + 1)), np.zeros(len(keys), np.int64)
-        x[:, -1] = 0.3
-        for i, order in enumerate(ORDERS):
-            at = slot(order, context_of(keys, order), node)
-            x[:, i] = self.logits[order][at] / 256
-            level = self.levels[order][at]
-            gate = np.where(level >= LEVELS - 2, 2 * i + 2, np.where(level > 0, 2 * i + 1, gate))
-        return x, d * (len(ORDERS) * 2 + 1) + gate
+        self.weights = [np.full((8 * sets, len(ORDERS) + 1), START) for sets in SETS]
+        self.map = MAP
 
-    def refine(self, logit: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sums(self, x: np.ndarray, gates: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.clip(np.einsum("ij,ij->i", x, w[g]), -11, 11) for w, g in zip(self.weights, gates, strict=True)]
+
+    @staticmethod
+    def place(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = (np.clip(logit, -7.999, 7.999) + 8) * ((BUCKETS - 1) / 16)
-        low = place.astype(np.int64)
-        part = place - low
-        return self.map[last, low] * (1 - part) + self.map[last, low + 1] * part, low, part
-
-    def bits(self, keys: np.ndarray, learn: float = 0.0) -> np.ndarray:
-        """Natural logarithms of the probabilities of the keys' last bytes; learns from them if asked to."""
-        out = np.zeros(len(keys))
-        last = context_of(keys, 1).astype(np.int64)
+        return place.astype(np.int64), place % 1
+
+    def costs(self, counts: Counts) -> np.ndarray:
+        """log10 probabilities of the grams' last bytes."""
+        out = np.zeros(len(counts.keys))
         for d in range(8):
-            bit = ((keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.float64)
-            x, gate = self.inputs(keys, d)
-            gates = gate, last * 8 + d
-            sums = [np.clip(np.einsum("ij,ij->i", x, w[g]), -11, 11) for w, g in zip(self.weights, gates, strict=True)]
-            logit = (sums[0] + sums[1]) / 2
-            p = squash(logit)
-            refined, low, part = self.refine(logit, last)
-            p_end = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-            out += np.log(np.where(bit > 0, p_end, 1 - p_end))
-            if learn:
-                for w, g, own in zip(self.weights, gates, sums, strict=True):
-                    step = np.zeros_like(w)
-                    np.add.at(step, g, (bit - squash(own))[:, None] * x)
-                    w += learn * step / np.sqrt(np.maximum(1, np.bincount(g, minlength=len(step))))[:, None]
-                near = low + (part > 0.5)
-                hits, ones = np.zeros_like(self.map), np.zeros_like(self.map)
-                np.add.at(hits, (last, near), 1)
-                np.add.at(ones, (last, near), bit)
-                self.map += np.where(hits > 0, (ones - hits * self.map) / (hits + 30), 0)
+            tables, bit = counts.tables(d), counts.bits(d)
+            for a in range(0, len(out), 65536):
+                rows = np.arange(a, min(a + 65536, len(out)))
+                sums = self.sums(*counts.inputs(rows, tables, d))
+                logit = (sums[0] + sums[1]) / 2
+                low, part = self.place(logit)
+                last = counts.last[rows]
+                refined = self.map[last, low] * (1 - part) + self.map[last, low + 1] * part
+                p = np.clip((squash(logit) + refined) / 2, 1e-6, 1 - 1e-6)
+                out[rows] += np.log10(np.where(bit[rows] > 0, p, 1 - p))
         return out
 
-    def place(self, rows: list) -> None:
-        for r in rows:
-            own = slice(r.segment << SEGMENT, (r.segment + 1) << SEGMENT)
-            self.logits[r.order][own], self.levels[r.order][own] = np.frombuffer(r.logits, np.int16), np.frombuffer(r.levels, np.uint8)
-
-    def train(self, texts: list[str | None], batch: int = 1024) -> None:
-        if texts:
-            keys = grams_of([b" ".join(canonical(t)) for t in texts])[0]
-            for at in range(0, len(keys), batch):
-                self.bits(keys[at : at + batch], 0.02 / (1 + 3 * at / len(keys)))
-
-
-class Scorer:
-    """log10 probabilities of texts; bytes' costs are remembered by gram."""
-
-    def __init__(self, mixer: Mixer):
-        self.mixer = mixer
-        self.known, self.cost = np.full(1 << MEMORY, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << MEMORY)
-
-    def fresh(self, keys: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.mixer.bits(keys[i : i + 65536]) for i in range(0, len(keys), 65536)]) / np.log(10) if len(keys) else np.zeros(0)
-
-    def scores(self, parts: list[bytes]) -> np.ndarray:
-        keys, starts = grams_of(parts)
-        at = (mix(keys) >> np.uint64(64 - MEMORY)).astype(np.int64)
-        missing = np.unique(keys[self.known[at] != keys])
-        values = self.fresh(missing)
-        place = (mix(missing) >> np.uint64(64 - MEMORY)).astype(np.int64)
-        self.known[place], self.cost[place] = missing, values
-        out = self.cost[at]
-        lost = self.known[at] != keys  # two of this call's keys share a place
-        out[lost] = values[np.searchsorted(missing, keys[lost])] if lost.any() and np.isin(keys[lost], missing).all() else self.fresh(keys[lost])
-        return np.add.reduceat(out, starts)
-
-
-def fit_mixer(learn: DataFrame, key: str, text: str) -> Mixer:
-    sample = F.broadcast(sample_keys(learn, key, SAMPLE))  # so many rows at most
-    parts = [counted_grams(learn.join(sample, key, how), key, text, shuffle_width(learn.sparkSession), how == "left_semi") for how in ("left_anti", "left_semi")]
-    tables = predictors(slot_counts(parts[0].unionByName(parts[1]))).collect()  # of fixed size
-    release(learn.sparkSession)
-    mixer = Mixer()
-    mixer.place([r for r in tables if not r.taught])
-    mixer.train([r[text] for r in learn.join(sample, key, "left_semi").select(key, text).orderBy(key).collect()])
-    mixer.place([r for r in tables if r.taught])
+    def learn(self, counts: Counts) -> list[np.ndarray]:
+        """Learns online from the grams of the first fold. Returns what can be added up over buckets: for each weight set
+        the bits that chose a row, and its weights times them; hits and ones of the map."""
+        squares = [np.full(w.shape, 1e-6) for w in self.weights]
+        chosen = [np.zeros(len(w)) for w in self.weights]
+        hits, ones = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
+        rng = np.random.default_rng(len(counts.keys))
+        for d in range(8):
+            bit = counts.bits(d)
+            for fold in (0,):
+                rows = rng.permutation(np.flatnonzero(counts.counts[:, fold]))
+                tables = counts.tables(d, fold) if len(rows) else None
+                size = min(8192, max(128, len(rows) // 64))
+                for a in range(0, len(rows), size):
+                    own = rows[a : a + size]
+                    x, gates = counts.inputs(own, tables, d)
+                    times, b = counts.counts[own, fold].astype(np.float64), bit[own]
+                    sums = self.sums(x, gates)
+                    low, part = self.place((sums[0] + sums[1]) / 2)
+                    near = counts.last[own] * BUCKETS + low + (part > 0.5)
+                    hits += np.bincount(near, times, len(hits))
+                    ones += np.bincount(near, times * b, len(ones))
+                    for w, g, s, q, n in zip(self.weights, gates, sums, squares, chosen, strict=True):
+                        step = added(g, (times * (b - squash(s)))[:, None] * x, len(w))
+                        q += step * step
+                        w += RATE * step / np.sqrt(q)
+                        n += np.bincount(g, times, len(n))
+        return [*(x for w, n in zip(self.weights, chosen, strict=True) for x in (n, w * n[:, None])), hits, ones]
+
+    def average(self, found: list[np.ndarray]) -> None:
+        """Takes over what the buckets have learned."""
+        for i, w in enumerate(self.weights):
+            n, total = found[2 * i], found[2 * i + 1].reshape(w.shape)
+            self.weights[i] = (total + HITS * w) / (n + HITS)[:, None]
+        hits, ones = (x.reshape(MAP.shape) for x in found[4:])
+        self.map = (ones + HITS * MAP) / (hits + HITS)
+
+
+def counts_in(rows: pa.Table, low: tuple[np.ndarray, np.ndarray]) -> tuple[Counts, np.ndarray, np.ndarray]:
+    """Counts of a bucket's rows; the places of each row's grams in them, and where each row's begin."""
+    grams = [unpack(x, np.uint64) for x in rows["grams"].to_pylist()]
+    keys, counts, at = merged(np.concatenate(grams), np.concatenate([counts_of(x) for x in rows["counts"].to_pylist()]))
+    return Counts(low, keys, counts), at, np.cumsum([0, *map(len, grams)])
+
+
+def fit_mixer(grams: DataFrame, low, buckets: int) -> Mixer:
+    spark, mixer = grams.sparkSession, Mixer()
+    shapes = [n for sets in SETS for n in (8 * sets, 8 * sets * (len(ORDERS) + 1))] + [MAP.size] * 2
+    width = int(np.ceil(np.sqrt(buckets)))  # buckets whose sums are added before they come to the driver
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(mixer)
+
+        def learn(rows: pa.Table) -> pa.Table:
+            own = Mixer()
+            own.weights = [w.copy() for w in sent.value.weights]  # noqa: B023
+            found = np.concatenate([x.ravel() for x in own.learn(counts_in(rows.sort_by("source"), low.value)[0])])
+            bucket = rows["bucket"][0].as_py()
+            return pa.table([pa.array([bucket], pa.int32()), pa.array([bucket // width], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["bucket", "part", "found"])
+
+        def add(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("bucket")
+            return pa.table([rows["part"].slice(0, 1).combine_chunks(), pa.array([sum(np.frombuffer(x) for x in rows["found"].to_pylist()).tobytes()], pa.binary())], names=["part", "found"])
+
+        parts = grams.groupBy("bucket").applyInArrow(learn, "bucket int, part int, found binary").groupBy("part").applyInArrow(add, "part int, found binary").collect()
+        if parts:
+            total = sum(np.frombuffer(r.found) for r in sorted(parts, key=lambda r: r.part))
+            mixer.average(np.split(total, np.cumsum(shapes)[:-1]))
+        release(spark)
     return mixer
 
 
-def scored_blocks(df: DataFrame, key: str, text: str, mixer, bits: int) -> DataFrame:
+def gram_costs(grams: DataFrame, low, mixer) -> DataFrame:
+    """Per source and bucket: the grams and the cost of each."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        counts, at, starts = counts_in(rows, low.value)
+        costs = mixer.value.costs(counts).astype(np.float32)
+        found = [pack(costs[at[a:b]]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return pa.table([rows["source"].combine_chunks(), rows["grams"].combine_chunks(), pa.array(found, pa.binary())], names=["source", "grams", "costs"])
+
+    return grams.groupBy("bucket").applyInArrow(run, "source long, grams binary, costs binary")
+
+
+def text_scores(read: DataFrame, costs: DataFrame, key: str, key_type: str) -> DataFrame:
+    """Per document: key, words joined by spaces, held_out, score. Each source's texts meet the costs of their grams."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        columns = {c: rows[c].to_pylist() for c in ("texts", "keys", "held", "grams", "costs")}
+        own = [i for i, g in enumerate(columns["grams"]) if g is not None]
+        keys = np.concatenate([unpack(columns["grams"][i], np.uint64) for i in own])
+        cost = np.concatenate([unpack(columns["costs"][i], np.float32) for i in own]).astype(np.float64)
+        order = np.argsort(keys)
+        keys, cost = keys[order], cost[order]
+        shift = np.uint64(64 - min(24, 2 + len(keys).bit_length()))
+        place = (mix(keys) >> shift).astype(np.int64)
+        slots = np.zeros(1 << (64 - int(shift)), np.int64)  # the place of a gram that has this hash; the others are searched
+        slots[place] = np.arange(len(keys))
+        out = [], [], [], []
+        for texts, ids, held in zip(columns["texts"], columns["keys"], columns["held"], strict=True):
+            if texts is not None:
+                parts = unpack(texts).split(END)
+                grams, starts = grams_of(parts)
+                at = slots[(mix(grams) >> shift).astype(np.int64)]
+                lost = np.flatnonzero(keys[at] != grams)
+                at[lost] = np.searchsorted(keys, grams[lost])
+                for o, x in zip(out, (ids, parts, held, np.add.reduceat(cost[at], starts).tolist()), strict=True):
+                    o.extend(x)
+        return pa.table([pa.array(o, t) for o, t in zip(out, (rows["keys"].type.value_type, pa.binary(), pa.bool_(), pa.float64()), strict=True)], names=[key, "words", "held_out", "score"])
+
+    texts = read.where("bucket is null").select("source", "texts", "keys", "held", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("costs"))
+    sent = costs.select("source", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast(f"array<{key_type}>").alias("keys"), F.lit(None).cast("array<boolean>").alias("held"), "grams", "costs")
+    return texts.unionByName(sent).groupBy("source").applyInArrow(run, f"{key} {key_type}, words binary, held_out boolean, score double")
+
+
+def scored_blocks(df: DataFrame, key: str, bits: int) -> DataFrame:
     """Rows of one block and bucket of word hashes: the distinct words, their count in learning documents, and for every
     document which of them it has. One row of each block has its documents and their scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, scorer, partition = Shingler(), None, TaskContext.get().partitionId()
+        shingler, partition = Shingler(), TaskContext.get().partitionId()
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
-                held, at = batch.column(2), 0
-                for keys, texts in blocks(iter([batch]), BLOCK):
-                    yield keys, held.slice(at, len(keys)).to_numpy(zero_copy_only=False), texts
+                at = 0
+                for keys, parts in blocks(iter([batch]), BLOCK):
+                    yield keys, *(batch.column(i).slice(at, len(keys)).to_numpy(zero_copy_only=False) for i in (2, 3)), parts
                     at += len(keys)
 
-        for number, (keys, held, texts) in enumerate(pairs(batches)):
-            scorer = scorer or Scorer(mixer.value)
-            words = [canonical(t) for t in texts]
-            parts = [b" ".join(w) for w in words]
-            n = np.array([len(w) for w in words], np.int64)
+        for number, (keys, held, scores, parts) in enumerate(pairs(batches)):
+            n = np.array([p.count(b" ") + 1 if p else 0 for p in parts], np.int64)
             hashes, _ = shingler.word_hashes(np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8))
             owner = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             distinct, inverse = np.unique(hashes, return_inverse=True)
@@ -292,13 +412,13 @@ def scored_blocks(df: DataFrame, key: str, text: str, mixer, bits: int) -> DataF
             for a, b, c, d in zip(cuts, ends, token_cuts, token_ends, strict=True):
                 kind = np.uint16 if b - a < 65536 else np.uint32
                 rows.append((int(bucket[a]), planes(distinct[a:b]), planes(learned[a:b]), planes(np.bincount(owner[c:d], minlength=len(n)).astype(np.uint32)), planes((token[c:d] - a).astype(kind)), None, None, None, None))
-            rows.append((block % (1 << bits), None, None, None, None, keys.to_pylist(), held.tolist(), (n + 1).tolist(), scorer.scores(parts).tolist()))
+            rows.append((block % (1 << bits), None, None, None, None, keys.to_pylist(), held.tolist(), (n + 1).tolist(), scores.tolist()))
             columns = list(zip(*rows, strict=True))
             types = [pa.binary()] * 4 + [pa.list_(t) for t in (keys.type, pa.bool_(), pa.int64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=["bucket", "block", "words", "learned", "counts", "tokens", "keys", "held", "n", "scores"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text, "held_out").mapInArrow(run, f"bucket int, block long, words binary, learned binary, counts binary, tokens binary, keys array<{key_type}>, held array<boolean>, n array<long>, scores array<double>")
+    return df.select(key, "words", "held_out", "score").mapInArrow(run, f"bucket int, block long, words binary, learned binary, counts binary, tokens binary, keys array<{key_type}>, held array<boolean>, n array<long>, scores array<double>")
 
 
 def block_sums(dealt: DataFrame, key_type: str) -> DataFrame:
@@ -341,9 +461,16 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str =
     spark = df.sparkSession
     key_type = df.schema[key].dataType.simpleString()
     rows = df.select(key, text, held_out.alias("held_out"))
-    mixer = spark.sparkContext.broadcast(fit_mixer(rows.where("not held_out"), key, text))
-    bits = max(3, min(30, (shuffle_width(spark) - 1).bit_length()))
-    sums = durable(block_sums(scored_blocks(rows, key, text, mixer, bits), key_type))
+    sample = sample_keys(rows.where("not held_out"), key, SAMPLE).withColumn("fold", F.lit(0))
+    rows = rows.join(F.broadcast(sample), key, "left").fillna({"fold": 1})  # so many rows at most
+    buckets = shuffle_width(spark)
+    read = durable(sources(rows, key, text, buckets))
+    grams = read.where("bucket is not null").select("bucket", "source", "grams", "counts")
+    low = spark.sparkContext.broadcast(low_counts(grams))
+    mixer = spark.sparkContext.broadcast(fit_mixer(grams, low, buckets))
+    bits = max(3, min(30, (buckets - 1).bit_length()))
+    sums = durable(block_sums(scored_blocks(text_scores(read, gram_costs(grams, low, mixer), key, key_type), key, bits), key_type))
+    release(spark)
     learned = "aggregate(zip_with(n, held, (x, h) -> if(h, 0L, x)), 0L, (a, x) -> a + x)"
     number, tokens, documents = sums.agg(F.sum("distinct"), F.sum(F.expr(learned)), F.sum(F.expr("cast(coalesce(size(filter(held, h -> not h)), 0) as long)"))).first()
     number, tokens, documents = number or 0, tokens or 0, documents or 0
