@@ -9,8 +9,8 @@ bit of every byte a probability, so a text's is a product and sums to one over a
   buckets need, are broadcast (at most 2^24 by their form).
 * Mixer: the predictors' logits are summed with weights from two sets, each chosen by a gate, and the two sums are
   averaged. One gate is the bit's place and the highest order that has seen the context often, seldom or never, the other
-  the bit's place and the last byte. A bounded sample of learning documents teaches it, against counts without the
-  sample, so that predictors don't meet what they have counted. Each bucket learns online; then weights
+  the bit's place and the last byte. All learning documents teach it: they are dealt into folds, and a fold's bytes meet
+  counts without that fold, so that predictors don't meet what they have counted. Each bucket learns online; then weights
   are averaged by the number of bits that chose them, and the next round starts from these.
 * Refinement: an adaptive probability map from the mixer's logit and the last byte, counted while the mixer learns; the
   result is the mean of both.
@@ -29,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, release, sample_keys, shuffle_width
+from kobza.llm.common import durable, release, shuffle_width
 from kobza.llm.jaccard import LOWER, Shingler, blocks, from_planes, mix, planes
 
 ORDERS = [1, 2, 3, 4, 5]
 DEPTH = max(ORDERS)
 #: Orders up to this one have their counts broadcast; parts in which they are added up.
 LOW, LOW_PARTS = 2, 16
-#: Documents that teach the mixer; folds of the learning documents (the first are these), and rounds of learning.
-SAMPLE, FOLDS, ROUNDS = 256, 2, 2
+#: Folds of the learning documents, and rounds of learning over all of them.
+FOLDS, ROUNDS = 4, 2
 END = b"\n"
 BLOCK = 3 << 19  # characters of a block; each has some hundred bytes of intermediate numbers
 SOURCE = 8 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
@@ -267,7 +267,7 @@ class Mixer:
         return out
 
     def learn(self, counts: Counts) -> list[np.ndarray]:
-        """Learns online from the grams of the first fold. Returns what can be added up over buckets: for each weight set
+        """Learns online from all learning documents' grams. Returns what can be added up over buckets: for each weight set
         the bits that chose a row, and its weights times them; hits and ones of the map."""
         squares = [np.full(w.shape, 1e-6) for w in self.weights]
         chosen = [np.zeros(len(w)) for w in self.weights]
@@ -275,7 +275,7 @@ class Mixer:
         rng = np.random.default_rng(len(counts.keys))
         for d in range(8):
             bit = counts.bits(d)
-            for fold in (0,):
+            for fold in rng.permutation(FOLDS):
                 rows = rng.permutation(np.flatnonzero(counts.counts[:, fold]))
                 tables = counts.tables(d, fold) if len(rows) else None
                 size = min(8192, max(128, len(rows) // 64))
@@ -460,9 +460,7 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str =
     """
     spark = df.sparkSession
     key_type = df.schema[key].dataType.simpleString()
-    rows = df.select(key, text, held_out.alias("held_out"))
-    sample = sample_keys(rows.where("not held_out"), key, SAMPLE).withColumn("fold", F.lit(0))
-    rows = rows.join(F.broadcast(sample), key, "left").fillna({"fold": 1})  # so many rows at most
+    rows = df.select(key, text, held_out.alias("held_out"), F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"))
     buckets = shuffle_width(spark)
     read = durable(sources(rows, key, text, buckets))
     grams = read.where("bucket is not null").select("bucket", "source", "grams", "counts")

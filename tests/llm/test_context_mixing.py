@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from kobza.llm.context_mixing import DEPTH, FOLDS, ORDERS, Counts, mask, merged
+from kobza.llm.context_mixing import DEPTH, FOLDS, ORDERS, START, Counts, Mixer, grams_of, mask, merged
 
 
 def counts_by_fold(keys: np.ndarray, folds: np.ndarray) -> Counts:
@@ -28,3 +28,15 @@ def test_no_two_contexts_share_a_count():
             zeros, ones = (c.sum(1)[counts.at[k]] for c in counts.seen(k, d))
             own = ((counts.keys & mask(k)) >> np.uint64(8 - d)).tolist()
             assert zeros.tolist() == [seen[c, 0] for c in own] and ones.tolist() == [seen[c, 1] for c in own]
+
+
+def test_all_learning_documents_teach_the_mixer():
+    texts = [b"a word %d" % i for i in range(400)] + ["рідко ж".encode()]
+    parts = [grams_of([t])[0] for t in texts]
+    counts = counts_by_fold(np.concatenate(parts), np.repeat(np.arange(len(texts)) % FOLDS, [len(p) for p in parts]))
+    mixer = Mixer()
+    found = mixer.learn(counts)
+    assert found[0].sum() == found[2].sum() == found[4].sum() == 8 * sum(map(len, parts))
+    mixer.average(found)
+    rows = np.array([b * 8 + d for b in {*b"\n".join(texts)} for d in range(8)])
+    assert (mixer.weights[1][rows] != START).any(axis=1).all()
