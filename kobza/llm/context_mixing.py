@@ -3,7 +3,7 @@
 A text is read as its words, lower-cased over A-Z and joined by single spaces, and one end symbol; the model gives every
 bit of every byte a probability, so a text's is a product and sums to one over all texts.
 
-* Bit predictors: for each order from 1 to 5 the last bytes and the bits of the present one are the key of a count of
+* Bit predictors: for each order (1 to 5, and 7) the last bytes and the bits of the present one are the key of a count of
   zeros and ones over all learning documents. Counts are exact: no two contexts share one. They are dealt out by the last
   three bytes of the context and never gathered, so they grow with the corpus; only those of orders 1 and 2, which all
   buckets need, are broadcast (at most 2^24 by their form).
@@ -11,12 +11,12 @@ bit of every byte a probability, so a text's is a product and sums to one over a
   averaged. One gate is the bit's place and the highest order that has seen the context often, seldom or never, the other
   the bit's place and the last byte. All learning documents teach it: they are dealt into folds, and a fold's bytes meet
   counts without that fold, so that predictors don't meet what they have counted. Each bucket learns online; then weights
-  are averaged by the number of bits that chose them, and the next round starts from these.
+  are averaged by the number of bits that chose them.
 * Refinement: an adaptive probability map from the mixer's logit and the last byte, counted while the mixer learns; the
   result is the mean of both.
 
-For scoring the model is frozen. The probability of a byte then depends on the five bytes before it alone, so it is found
-once for each distinct sequence of six bytes, where its counts are, and sent to the documents that have it.
+For scoring the model is frozen. The probability of a byte then depends on the seven bytes before it alone, so it is found
+once for each distinct sequence of eight bytes, where its counts are, and sent to the documents that have it.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from kobza.llm.common import durable, release, shuffle_width
 from kobza.llm.jaccard import LOWER, Shingler, blocks, from_planes, mix, planes
 
-ORDERS = [1, 2, 3, 4, 5]
+ORDERS = [1, 2, 3, 4, 5, 7]
 DEPTH = max(ORDERS)
 #: Orders up to this one have their counts broadcast; parts in which they are added up.
 LOW, LOW_PARTS = 2, 16
-#: Folds of the learning documents, and rounds of learning over all of them.
-FOLDS, ROUNDS = 4, 2
+#: Folds of the learning documents.
+FOLDS = 4
 END = b"\n"
 BLOCK = 3 << 19  # characters of a block; each has some hundred bytes of intermediate numbers
 SOURCE = 8 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
@@ -315,25 +315,21 @@ def fit_mixer(grams: DataFrame, low, buckets: int) -> Mixer:
     spark, mixer = grams.sparkSession, Mixer()
     shapes = [n for sets in SETS for n in (8 * sets, 8 * sets * (len(ORDERS) + 1))] + [MAP.size] * 2
     width = int(np.ceil(np.sqrt(buckets)))  # buckets whose sums are added before they come to the driver
-    for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(mixer)
-
-        def learn(rows: pa.Table) -> pa.Table:
-            own = Mixer()
-            own.weights = [w.copy() for w in sent.value.weights]  # noqa: B023
-            found = np.concatenate([x.ravel() for x in own.learn(counts_in(rows.sort_by("source"), low.value)[0])])
-            bucket = rows["bucket"][0].as_py()
-            return pa.table([pa.array([bucket], pa.int32()), pa.array([bucket // width], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["bucket", "part", "found"])
-
-        def add(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by("bucket")
-            return pa.table([rows["part"].slice(0, 1).combine_chunks(), pa.array([sum(np.frombuffer(x) for x in rows["found"].to_pylist()).tobytes()], pa.binary())], names=["part", "found"])
-
-        parts = grams.groupBy("bucket").applyInArrow(learn, "bucket int, part int, found binary").groupBy("part").applyInArrow(add, "part int, found binary").collect()
-        if parts:
-            total = sum(np.frombuffer(r.found) for r in sorted(parts, key=lambda r: r.part))
-            mixer.average(np.split(total, np.cumsum(shapes)[:-1]))
-        release(spark)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        found = np.concatenate([x.ravel() for x in Mixer().learn(counts_in(rows.sort_by("source"), low.value)[0])])
+        bucket = rows["bucket"][0].as_py()
+        return pa.table([pa.array([bucket], pa.int32()), pa.array([bucket // width], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["bucket", "part", "found"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        return pa.table([rows["part"].slice(0, 1).combine_chunks(), pa.array([sum(np.frombuffer(x) for x in rows["found"].to_pylist()).tobytes()], pa.binary())], names=["part", "found"])
+
+    parts = grams.groupBy("bucket").applyInArrow(learn, "bucket int, part int, found binary").groupBy("part").applyInArrow(add, "part int, found binary").collect()
+    if parts:
+        total = sum(np.frombuffer(r.found) for r in sorted(parts, key=lambda r: r.part))
+        mixer.average(np.split(total, np.cumsum(shapes)[:-1]))
+    release(spark)
     return mixer
 
 
@@ -465,6 +461,7 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str =
     read = durable(sources(rows, key, text, buckets))
     grams = read.where("bucket is not null").select("bucket", "source", "grams", "counts")
     low = spark.sparkContext.broadcast(low_counts(grams))
+    release(spark)
     mixer = spark.sparkContext.broadcast(fit_mixer(grams, low, buckets))
     bits = max(3, min(30, (buckets - 1).bit_length()))
     sums = durable(block_sums(scored_blocks(text_scores(read, gram_costs(grams, low, mixer), key, key_type), key, bits), key_type))

@@ -40,3 +40,13 @@ def test_all_learning_documents_teach_the_mixer():
     mixer.average(found)
     rows = np.array([b * 8 + d for b in {*b"\n".join(texts)} for d in range(8)])
     assert (mixer.weights[1][rows] != START).any(axis=1).all()
+
+
+def test_contexts_of_seven_bytes():
+    ends = {b"xa-----": b"1", b"yb-----": b"2"}
+    texts = [a + b for a, b in ends.items()] * 40
+    keys = np.concatenate([grams_of([t])[0][7:8] for t in texts])
+    counts = counts_by_fold(keys, np.arange(len(keys)) % FOLDS)
+    mixer = Mixer()
+    mixer.average(mixer.learn(counts))
+    assert len(counts.keys) == 2 and (mixer.costs(counts) > np.log10(0.7)).all()
