@@ -7,7 +7,8 @@ not trust an earlier one more than unseen documents deserve.
 The labels mark documents as toxic or not and name no categories, so the chain of the query is: "marked" (a word of the
 learned list occurs), "repeated" (toxic, with marks in two places or more) and "toxic" (the label itself, decided last). The
 mark list holds the words and beginnings of words that the learning sample's toxic documents use most distinctly; words
-of prose that occur in both kinds alike carry no weight.
+of prose that occur in both kinds alike carry no weight. Toxic and clean rows of the sample are weighted by the labelled
+rows that they stand for, so that a probability means the same however much of either kind the sample holds.
 """
 
 from __future__ import annotations
@@ -45,15 +46,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the bias."""
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), decay * len(x))
     ridge[-1] = 1e-6
     for _ in range(steps):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(ridge + 1e-9), x.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -64,14 +65,14 @@ def apply_linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> list[np.ndarray]:
+def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     models = []
     for y in targets:
-        models.append(fit_linear(x, y))
+        models.append(fit_linear(x, y, weight))
         out = np.empty(len(x))
         for k in np.unique(folds):
             own = folds == k
-            out[own] = apply_linear(x[own], fit_linear(x[~own], y[~own]) if (~own).any() else models[-1])
+            out[own] = apply_linear(x[own], fit_linear(x[~own], y[~own], weight[~own]) if (~own).any() else models[-1])
         x = np.hstack([x, out[:, None]])
     return models
 
@@ -146,12 +147,16 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: Column, text: str, ke
         rows.append((r.fold, r["mark"], bytes(r.words)))
     if not all(sizes):
         return None
+    labelled = {r["_mark"]: r["n"] for r in marks.groupBy("_mark").agg(F.count("*").alias("n")).collect()}
+    share = np.array([labelled[k] / sizes[k] for k in (0, 1)])  # labelled rows that each row of the sample stands for
     rows.sort()
     model = Model(mark_list(counted[1], counted[0], sizes[1], sizes[0]), [])
     x = np.array([model.features(w.split()) for _, _, w in rows])
     toxic = np.array([m for _, m, _ in rows], float)
+    weight = share[toxic.astype(int)]
+    weight *= len(weight) / weight.sum()
     hits = x[:, -2] * 4
-    model.models = fit_chain(x, [(hits >= 1).astype(float), toxic * (hits >= 2), toxic], np.array([f for f, _, _ in rows]))
+    model.models = fit_chain(x, [(hits >= 1).astype(float), toxic * (hits >= 2), toxic], np.array([f for f, _, _ in rows]), weight)
     return model
 
 
