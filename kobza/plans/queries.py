@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kobza.functions import morphology as M
 from kobza.functions import text as T
 from kobza.functions import validators as V
+from kobza.operators.diagnostics import flag_uncertain
 from kobza.operators.normalize import normalize_many
 from kobza.operators.segment import split_sentences, tokenize
 from kobza.operators.spans import summarize
@@ -83,6 +84,16 @@ def bare_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize(found)
 
 
+def diagnostic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of every document that diagnostics report."""
+    return flag_uncertain(read(spark, sf_dir, "documents"))
+
+
+def diagnostic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What diagnostics report, counted in total, by severity and by category."""
+    return summarize(diagnostic_spans(spark, sf_dir))
+
+
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "documents").select("doc_id", tokenize(F.col("text")).alias("t"))
     return found.select("doc_id", F.size("t").alias("n_tokens"), F.to_json("t").alias("spans")).select("doc_id", "n_tokens", F.md5("spans").alias("digest"))
@@ -101,7 +112,7 @@ def normalized_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     number_words, number_words_large, number_digits, number_cases, number_ordinals, transliterate, trimmed_lower, distinct_then_join, document_lines,
-    luhn_numbers, isbn_issn_numbers, calendar_checks, bare_number_summary, document_tokens, document_sentences,
+    luhn_numbers, isbn_issn_numbers, calendar_checks, bare_number_summary, diagnostic_spans, diagnostic_summary, document_tokens, document_sentences,
     normalized_conversations,
 ]
 
