@@ -6,10 +6,11 @@ The gadget of merge ``k``, ``u + v -> w``, copies the state that ``u`` leads to
 ``w`` beside every arc ``u`` that had an arc ``v`` behind it. A state is therefore named by the last token read, its
 removed arcs are the merges of that token, and those that its right half had lost before the token was made. The arc
 ``t`` exists behind a state if each token on the chain of left halves of ``t`` was still there when the next one was
-made, and ``t`` itself was never removed. Arcs are held as these two tables and looked up through a transition cache.
+made, and ``t`` itself was never removed. The automaton itself is not built: whether the arc of a pair of tokens
+exists is computed from these two tables when it is first met, and remembered.
 
-A string has exactly one accepted token sequence, and so has each of its prefixes: encoding keeps the state of every
-prefix and moves forward with table lookups alone. Decoding emits the labels of the arcs.
+A string has exactly one accepted token sequence, and so has each of its prefixes: encoding tries
+the longest string first and steps back where no arc leads on. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
