@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -40,6 +42,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim_memory() -> None:
+    """Gives freed memory of a Python worker back to the system; workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows of keys that may be broadcast; a longer list is joined by shuffling.
 BROADCAST_ROWS = 50_000
 
