@@ -1,12 +1,19 @@
 """Exact near-duplicate vectors by dual traversal of cover trees.
 
 Vectors are scaled to length one, so that a cosine threshold is a distance threshold. Equal vectors are one point with a
-weight. Points are dealt to cells of the nearest of a few sampled pivots and cells are cut into shards of bounded size;
-two cells whose covering radii keep them farther apart than the threshold are no pair. Each shard's cover tree is built
-once (nested levels, each with half the radius of the one above), and for each pair of shards left a task walks pairs of
-nodes of both trees: a pair is pruned when the distance of its centres exceeds the threshold by more than both covering radii, taken whole when
-even the farthest two members are within it, and otherwise split. Single pairs are decided by their cosine in double
-precision. Links are counted where they are found and handed on as a spanning forest, never as all pairs.
+weight. Points are dealt to cells of the nearest of sampled pivots, whose number grows with the table; a cell beyond the
+size of a shard (where the number of pivots has met its bound) is cut by hash. Two cells whose covering radii keep them
+farther apart than the threshold are no pair, and nothing of them is shuffled. Each shard's cover tree is built once: one
+root of radius two, which covers the sphere, and nested levels of half the radius each, down to single points. For each
+pair of shards left a task walks pairs of nodes of both trees from the roots: a pair is pruned when the distance of its
+centres exceeds the threshold by more than both covering radii, taken whole when even the farthest two members are within
+it, and otherwise split. While a level prunes little, both sides go one level down; from there on all pairs of two
+frontiers are pruned by matrix products with each pair's own radii, and what is left is walked pair by pair. Single pairs
+are decided by their cosine in double precision. Links are counted where they are found and handed on as a spanning
+forest, never as all pairs.
+
+In vectors without structure (as many independent dimensions as these have) no bound by the triangle inequality prunes
+whole shards, so exact search compares all of them there; products of frontiers keep that cheap.
 """
 
 from __future__ import annotations
@@ -23,9 +30,12 @@ from kobza.llm.common import durable
 from kobza.llm.components import connected_components
 from kobza.llm.vectors import cosines, matrix, unit, usable
 
-#: Points of a shard at most (on average over a cell's hash parts), pivots at most, node pairs looked at together.
-SHARD, PIVOTS, FRONTIER = 2048, 32, 1 << 20
-RADII = [1.0, 0.5, 0.25, 0.125]
+#: Points of a shard (on average over a cell's hash parts) and its bytes at most, pivots at most, node pairs looked at together.
+SHARD, SHARD_BYTES, PIVOTS, FRONTIER = 8192, 16 << 20, 1024, 1 << 20
+#: From a radius that covers the sphere, halved at each level.
+RADII = [2.0 * 0.5**k for k in range(24)]
+#: Nodes of each side by which a level is judged, and the part of the next level's pairs from which on it is skipped.
+JUDGED, SKIPPED = 512, 0.05
 #: Distances are trusted to this much; pairs nearer to the threshold are split until single cosines decide.
 SLACK = 1e-6
 
@@ -57,6 +67,12 @@ class CoverTree:
         tree.radius = np.frombuffer(data, np.float64, k, offset=12 + 4 * (n + 5 * k))
         return tree
 
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The children of nodes; a node without any stays."""
+        number = self.child[nodes, 1] - self.child[nodes, 0]
+        first, number = np.where(number > 0, self.child[nodes, 0], nodes), np.maximum(number, 1)
+        return np.repeat(first - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum())
+
     def centres_of(self, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Greedy cover of the points: places of the centres in own, and each point's centre."""
         x = self.points[own]
@@ -140,6 +156,40 @@ class Links:
         self.join(np.concatenate([u, np.full(len(v), u[0])]), np.concatenate([np.full(len(u), v[0]), v]))
 
 
+    def within(self, u: np.ndarray) -> None:
+        """Every two of u."""
+        self.count[u] += self.weights[u].sum() - self.weights[u]
+        self.join(u[1:], np.full(len(u) - 1, u[0]))
+
+
+def kept_pairs(a: CoverTree, b: CoverTree, na: np.ndarray, nb: np.ndarray, reach: float) -> np.ndarray:
+    """Which pairs of nodes can't be pruned, as a matrix. In single precision, with room for its errors."""
+    g = a.points[a.centre[na]].astype(np.float32) @ b.points[b.centre[nb]].astype(np.float32).T
+    ra, rb = a.radius[na].astype(np.float32), b.radius[nb].astype(np.float32)
+    if not ra.any() and not rb.any():
+        return g >= np.float32(1 - reach * reach / 2 - 1e-4)
+    far = np.add.outer(ra + np.float32(reach), rb)
+    far *= far
+    far *= np.float32(-0.5)
+    far += np.float32(1 - 1e-4)
+    return g >= far
+
+
+def frontiers(a: CoverTree, b: CoverTree, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first level of both trees whose pairs are worth pruning, judged by some nodes of each side."""
+    na, nb = np.arange(*a.roots), np.arange(*b.roots)
+    while True:
+        next_a, next_b = a.below(na), b.below(nb)
+        if len(next_a) == len(na) and len(next_b) == len(nb):
+            return na, nb
+        some_a, some_b = (x[:: max(1, len(x) // JUDGED)] for x in (na, nb))
+        children_a, children_b = (np.maximum(1, t.child[x, 1] - t.child[x, 0]) for t, x in ((a, some_a), (b, some_b)))
+        left = children_a @ kept_pairs(a, b, some_a, some_b, reach) @ children_b
+        if left <= SKIPPED * children_a.sum() * children_b.sum() or len(na) == len(nb) == 1 and max(a.radius[na[0]], b.radius[nb[0]]) < reach:
+            return na, nb
+        na, nb = next_a, next_b
+
+
 def dual_traversal(a: CoverTree, b: CoverTree, same: bool, exact_a: np.ndarray, exact_b: np.ndarray, threshold: float, links: Links) -> None:
     """Links of points of a with points of b (numbered after a's, unless both are the same)."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -168,9 +218,12 @@ def dual_traversal(a: CoverTree, b: CoverTree, same: bool, exact_a: np.ndarray,
         out = []
         if not len(na):
             return out
-        if same:  # a pair of a node with itself becomes the pairs of its children, in order
+        if same:  # a pair of a node with itself is taken whole, or becomes the pairs of its children, in order
             own = na == nb
             for i in na[own]:
+                if 2 * a.radius[i] <= reach - SLACK:
+                    links.within(a.order[slice(*a.member[i])])
+                    continue
                 c = np.arange(*a.child[i])
                 for k in range(len(c)):
                     out.append((np.full(len(c) - k, c[k]), c[k:]))
@@ -184,28 +237,28 @@ def dual_traversal(a: CoverTree, b: CoverTree, same: bool, exact_a: np.ndarray,
                 out.append((other, children) if swap else (children, other))
         return out
 
-    stack: list[tuple[np.ndarray, np.ndarray]] = []
-    roots_a, roots_b = np.arange(*a.roots), np.arange(*b.roots)
-    rows = max(1, 4 * FRONTIER // max(1, len(roots_b)))
-    coarse_a, coarse_b = (t.points[t.centre[r]].astype(np.float32) for t, r in ((a, roots_a), (b, roots_b)))
-    widest = a.radius[roots_a].max(initial=0.0) + b.radius[roots_b].max(initial=0.0)
-    # In single precision and for the widest nodes; the walk decides each pair by its own radii.
-    least = np.float32(1 - (reach + widest) ** 2 / 2 - 1e-4)
-    for at in range(0, len(roots_a), rows):
-        own = roots_a[at : at + rows]
-        i, j = np.nonzero(coarse_a[at : at + rows] @ coarse_b.T >= least)
-        if same:
-            apart = own[i] <= roots_b[j]
-            i, j = i[apart], j[apart]
-        stack.append((own[i], roots_b[j]))
-        while stack:
-            na, nb = stack.pop()
-            if len(na) > FRONTIER // 16:
-                stack += [(na[k : k + FRONTIER // 16], nb[k : k + FRONTIER // 16]) for k in range(0, len(na), FRONTIER // 16)]
-                continue
-            away = a.points[a.centre[na]] - b.points[b.centre[nb]]
-            small = decide(na, nb, np.sqrt(np.einsum("ij,ij->i", away, away)))
-            stack += merge_small(small)
+    front_a, front_b = frontiers(a, b, reach)
+    # Nodes without extent apart, so that one limit serves them all.
+    parts_a, parts_b = ([x for x in (f[t.radius[f] == 0], f[t.radius[f] > 0]) if len(x)] for t, f in ((a, front_a), (b, front_b)))
+    for own_a, own_b in ((x, y) for x in parts_a for y in parts_b):
+        rows = max(1, 8 * FRONTIER // len(own_b))
+        for at in range(0, len(own_a), rows):
+            i, j = np.nonzero(kept_pairs(a, b, own_a[at : at + rows], own_b, reach))
+            na, nb = own_a[at : at + rows][i], own_b[j]
+            if same:
+                na, nb = na[na <= nb], nb[na <= nb]
+            walk([(na, nb)], a, b, decide)
+
+
+def walk(stack: list[tuple[np.ndarray, np.ndarray]], a: CoverTree, b: CoverTree, decide) -> None:
+    """Decides pairs of nodes, and those that come back for them, until none is left."""
+    while stack:
+        na, nb = stack.pop()
+        if len(na) > FRONTIER // 16:
+            stack += [(na[k : k + FRONTIER // 16], nb[k : k + FRONTIER // 16]) for k in range(0, len(na), FRONTIER // 16)]
+            continue
+        away = a.points[a.centre[na]] - b.points[b.centre[nb]]
+        stack += merge_small(decide(na, nb, np.sqrt(np.einsum("ij,ij->i", away, away))))
 
 
 def merge_small(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -249,29 +302,35 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embed
     """Per row: key, n_links (other rows linked directly), component_id (the smallest key reached), kept.
 
     Rows whose vector is null, empty, zero or has a null or non-finite component link with nothing, and vectors of
-    different lengths don't link. Equal vectors (repeated rows too) link with each other. Further columns are not read;
-    an empty table gives an empty one. Keys must be unique and not null.
+    different lengths don't link. Equal vectors (repeated rows too) link with each other; ties in cosine change nothing.
+    Rows of one key are rows of their own, each with its component's smallest key; a row whose key is null links with
+    nothing, its component_id is null and kept false. Very long vectors make smaller shards. Further columns are not read,
+    whatever their names; an empty table gives an empty one.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"), usable(F.col(vector)).alias("ok"))
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("vector"))
+    rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("id").isNotNull())
     sound = rows.where("ok")
-    classes = durable(sound.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "vector"))
+    classes = durable(sound.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("weight")))
+    repeated = not classes.groupBy("least").count().where("count > 1").isEmpty()
+    classes = classes.select(F.xxhash64("least", "vector").alias("id") if repeated else F.col("least").alias("id"), "least", "weight", "vector")
     sizes = {r.n: r.k for r in classes.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("k")).collect()}  # a row for each length
     if not sizes:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = {}
+        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    pivots, limits = {}, {}
     for n, k in sizes.items():
-        sample = classes.where(F.size("vector") == n).orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, math.ceil(k / SHARD))).collect()
+        limits[n] = max(64, min(SHARD, SHARD_BYTES // (8 * n)))
+        sample = classes.where(F.size("vector") == n).orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, math.ceil(k / limits[n]))).collect()
         pivots[n] = unit(np.array([r.vector for r in sample], np.float64))
     near = durable(nearest_cells(classes, pivots))
     cells = {r.cell: r for r in near.groupBy("cell").agg(F.count("*").alias("k"), F.max("away").alias("r")).collect()}  # a row for each pivot
-    parts = {c: math.ceil(r.k / SHARD) for c, r in cells.items()}
-    reach, first, allowed = math.sqrt(max(0.0, 2 - 2 * threshold)), 0, []
+    reach, first, allowed, parts = math.sqrt(max(0.0, 2 - 2 * threshold)), 0, [], {}
     for n in sorted(pivots):
-        own = [c for c in range(first, first + len(pivots[n])) if c in cells]
-        for c in own:
-            for e in own:
-                if c <= e and np.linalg.norm(pivots[n][c - first] - pivots[n][e - first]) <= reach + cells[c].r + cells[e].r + SLACK:
-                    allowed.append((c, e))
+        own = np.array([c for c in range(first, first + len(pivots[n])) if c in cells])
+        parts |= {int(c): math.ceil(cells[c].k / limits[n]) for c in own}
+        radius, x = np.array([cells[c].r for c in own]), pivots[n][own - first]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
+        i, j = np.nonzero(np.triu(apart <= reach + np.add.outer(radius, radius) + 1e-4))
+        allowed += zip(own[i].tolist(), own[j].tolist(), strict=True)
         first += len(pivots[n])
     count = F.create_map(*[x for c, k in parts.items() for x in (F.lit(c), F.lit(k))])
     packs = durable(packed_shards(near.withColumn("part", F.pmod(F.xxhash64("id"), count[F.col("cell")]).cast("int")), dict(near.dtypes)["vector"]))
@@ -298,8 +357,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embed
     id_type = dict(near.dtypes)["id"]
     found = durable(dealt.groupBy("one", "two").applyInArrow(run, f"id {id_type}, n long, other {id_type}"))
     component = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    linked = classes.join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").join(component, "id", "left")
-    by_class = linked.select("vector", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    linked = classes.join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if repeated:
+        linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("first")), "component").withColumn("component", F.col("first"))
+    by_class = linked.select("vector", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"))
     good = sound.join(by_class, "vector").select("id", "n_links", "component_id")
     bad = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionByName(bad).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return good.unionByName(bad).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

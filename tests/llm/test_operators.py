@@ -15,12 +15,14 @@ from kobza.llm import queries as Q
 from kobza.llm.bpe_automaton import WordCodec, encode_documents
 from kobza.llm.common import tokenizer_path
 from kobza.llm.context_mixing import score_texts
+from kobza.llm.cover_tree import CoverTree, Links, dual_traversal, near_duplicates
 from kobza.llm.jaccard import jaccard_components
 from kobza.llm.langid import identify_languages
-from kobza.llm.packing import ChunkEncoder, best_plan, pack_documents
+from kobza.llm.packing import ChunkEncoder, best_plan, pack_documents, plan, used
 from kobza.llm.quality import score_quality
 from kobza.llm.secrets import redact_secrets, secret_digests
 from kobza.llm.toxicity import score_toxicity
+from kobza.llm.vectors import cosines, unit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -109,7 +111,45 @@ def test_plan_is_as_good_as_enumeration():
     # 6 sequences of 10 hold these exactly; best-fit decreasing needs 7.
     histogram = Counter([6, 6, 4, 4, 5, 5, 3, 3, 3, 1, 7, 3, 2, 2, 2, 4])
     assert sum(k * n for k, n in histogram.items()) == 60
-    assert sum(times for _, times in best_plan(histogram, 10)) == 6
+    found, proven = best_plan(histogram, 10)
+    assert used(found) == 6 and proven
+
+
+def fewest(items: list[int], capacity: int) -> int:
+    """By enumeration."""
+    best = len(items)
+
+    def place(i: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if items[i] <= rooms[k] and rooms[k] not in rooms[:k]:
+                place(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_needs_no_more_sequences_than_any_plan():
+    chance, fitted_worse = random.Random(2), 0
+    for turn in range(150):
+        capacity = chance.choice([10, 20, 50])
+        items = sorted((chance.randint(1 if turn % 2 else capacity // 5, capacity if turn % 2 else capacity // 2) for _ in range(chance.randint(1, 11))), reverse=True)
+        histogram = Counter(items)
+        found, proven = best_plan(histogram, capacity)
+        held = Counter()
+        for filling, times in found:
+            assert sum(filling) <= capacity
+            held.update({x: filling.count(x) * times for x in set(filling)})
+        assert held == histogram
+        assert used(found) == fewest(items, capacity) and proven
+        fitted_worse += used(plan(histogram, capacity, search=False)) > used(found)
+    assert fitted_worse
 
 
 def test_chunks_encode_as_whole_texts():
@@ -191,3 +231,51 @@ def test_pipeline(spark, tmp_path):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     clean = stages["secrets"](spark, kept, str(tmp_path)).where("doc_id = 502").first()
     assert clean.text == "here is [secret] now" and clean.n_chars == len(clean.text)
+
+
+def clustered_vectors() -> np.ndarray:
+    chance = np.random.default_rng(3)
+    centres = chance.normal(size=(30, 16))
+    loose = centres[chance.integers(0, 30, 1500)] + chance.normal(size=(1500, 16)) * chance.uniform(0, 0.6, size=(1500, 1))
+    dense = chance.normal(size=(1, 16)) + 0.03 * chance.normal(size=(700, 16))
+    return np.concatenate([loose, dense, dense[:50], 2 * loose[:50], chance.normal(size=(400, 16))])
+
+
+def test_cover_trees_find_every_link_of_dense_clusters():
+    x = clustered_vectors()
+    near = np.array([cosines(np.repeat(x[i : i + 1], len(x), 0), x) >= 0.95 for i in range(len(x))])
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100_000
+    tree = CoverTree(unit(x))
+    links = Links(np.arange(len(x)), np.ones(len(x), np.int64))
+    dual_traversal(tree, tree, True, x, x, 0.95, links)
+    assert (links.count == near.sum(axis=1)).all()
+    half = len(x) // 2
+    links = Links(np.arange(len(x)), np.ones(len(x), np.int64))
+    dual_traversal(CoverTree(unit(x[:half])), CoverTree(unit(x[half:])), False, x[:half], x[half:], 0.95, links)
+    near[:half, :half] = near[half:, half:] = False
+    assert (links.count == near.sum(axis=1)).all()
+
+
+def test_near_duplicate_vectors_of_clusters(spark):
+    x = clustered_vectors()
+    near = np.array([cosines(np.repeat(x[i : i + 1], len(x), 0), x) >= 0.95 for i in range(len(x))])
+    label = np.arange(len(x))
+    while (lower := np.where(near, label, len(x)).min(axis=1)).tolist() != label.tolist():
+        label = np.minimum(label, lower)
+    found = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    assert found.n_links.tolist() == (near.sum(axis=1) - 1).tolist()
+    assert found.component_id.tolist() == label.tolist()
+
+
+def test_repeated_and_null_keys_of_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (0, [0.01, 1.0]), (None, [1.0, 0.0])]
+    found = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in found.collect()) == [(False, 0, 1, 0, True), (False, 1, 1, 0, False), (False, 1, 1, 1, True), (False, 2, 1, 1, False), (True, 0, 0, 0, False)]
+
+
+def test_repeated_and_null_keys_of_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a), (0, b), (None, a), (5, None), (6, "")]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in found.collect()) == [(False, 0, 2, 0), (False, 1, 2, 0), (False, 1, 2, 1), (False, 2, 2, 1), (False, 5, 0, 5), (False, 6, 0, 6), (True, 0, 2, -1)]
