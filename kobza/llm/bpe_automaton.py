@@ -1,23 +1,26 @@
 """BPE encoding and decoding by a tokenization automaton.
 
 The merges are compiled, in their order, into a deterministic automaton over tokens that accepts exactly the token
-sequences that the merge procedure can return. Before any merge it has one state with a loop for every base symbol.
-The gadget of merge ``k``, ``u + v -> w``, copies the state that ``u`` leads to without its arc ``v`` and adds the arc
-``w`` beside every arc ``u`` that had an arc ``v`` behind it. A state is therefore named by the last token read, its
-removed arcs are the merges of that token, and those that its right half had lost before the token was made. The arc
-``t`` exists behind a state if each token on the chain of left halves of ``t`` was still there when the next one was
-made, and ``t`` itself was never removed. The automaton itself is not built: whether the arc of a pair of tokens
-exists is computed from these two tables when it is first met, and remembered.
-
-A string has exactly one accepted token sequence, and so has each of its prefixes: encoding tries
-the longest string first and steps back where no arc leads on. Decoding emits the labels of the arcs.
+sequences that the merge procedure can return. Before any merge every state has an arc for each base symbol. The gadget of
+merge ``k``, ``u + v -> w``, takes the arc ``v`` from the state behind ``u``, and adds the arc ``w`` beside every arc ``u``
+that still has ``v`` behind it; ``w`` leads where ``v`` led, so the state behind ``w`` starts as a copy of the state behind
+``v``. A state is stored as the arcs that it has lost (with the merge that took each); an added arc is stored as the
+arc beside which it was added, and the merge that added it. So the arc ``t`` leaves a state if ``t`` was not taken from it,
+and neither was any arc on the chain of left halves of ``t`` before the next arc of the chain was added beside it.
+
+Words are read letter by letter through a transition table over all labels (goto, failure and output links). Each prefix of
+a word has exactly one accepted token sequence, so at each letter just one of the labels that end there follows the
+sequence of the prefix before it: the first one whose arc the automaton has, the longest first. Nothing is taken back. Decoding emits
+the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Added to the code point of a word's last letter.
+LAST = 0x1000
 #: Distinct chunks that one task remembers; beyond it the memory is emptied, which costs time only.
 MEMORY = 400_000
 
@@ -40,109 +45,102 @@ class Automaton:
     """Compiled merges of one vocabulary whose words end in a suffix."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.suffix, self.vocab = suffix, vocab
-        self.rank: dict[tuple[int, int], int] = {}
-        self.left: dict[int, tuple[int, int]] = {}  # token: its left half, the rank at which it was made
-        self.right: dict[int, tuple[int, int]] = {}
-        for k, (a, b) in enumerate(merges):
-            u, v, w = vocab[a], vocab[b], vocab[a + b]
-            self.rank.setdefault((u, v), k)
-            self.left.setdefault(w, (u, k))
-            self.right.setdefault(w, (v, k))
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.suffix = suffix
         self.label = {i: t for t, i in vocab.items()}
-        self.reach: dict[str, int] = {}  # longest label by its first four letters
-        for t in vocab:
-            bare = t.removesuffix(suffix)
-            self.reach[bare[:4]] = max(len(bare), self.reach.get(bare[:4], 0))
+        #: By state (the token read last): the arcs that it has lost, by the merge that took each.
+        self.lost: dict[int, dict[int, int]] = {i: {} for t, i in vocab.items() if len(t.removesuffix(suffix) if len(t) > 1 else t) == 1}
+        #: By token: the arc beside which its arcs were added, and the merge that added them; none for base symbols.
+        self.beside: dict[int, tuple[int, int] | None] = dict.fromkeys(self.lost)
+        for k, (a, b) in enumerate(merges):
+            self.gadget(k, vocab[a], vocab[b], vocab[a + b])
+        self.compile_labels()
 
     @classmethod
+    @lru_cache(maxsize=1)
     def load(cls, path: str) -> Automaton:
+        """The automaton of a vocabulary file; a Python worker keeps the last one for its next tasks."""
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         return cls(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
 
-    def lost_at(self, state: int, token: int) -> int | None:
-        """Rank of the merge whose gadget removed the arc token from the state, if any did."""
-        before = None
-        while True:
-            k = self.rank.get((state, token))
-            if k is not None and (before is None or k < before):
-                return k
-            half = self.right.get(state)
-            if half is None:
-                return None
-            state, made = half
-            before = made if before is None else min(before, made)
+    def gadget(self, k: int, u: int, v: int, w: int) -> None:
+        if u not in self.lost or v not in self.lost or not self.has_arc(u, v):
+            return  # no sequence has this pair any more
+        if w not in self.lost:
+            self.lost[w] = dict(self.lost[v])
+            self.beside[w] = u, k
+        self.lost[u][v] = k
 
     def has_arc(self, state: int, token: int) -> bool:
-        known = self.arcs.get((state, token))
-        if known is None:
-            known = self.made(token) and self.lost_at(state, token) is None
-            below = token
-            while known and (half := self.left.get(below)) is not None:
-                below, made = half
-                lost = self.lost_at(state, below)
-                known = lost is None or lost > made
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            self.arcs[state, token] = known
-        return known
+        lost, beside = self.lost[state], self.beside
+        if token in lost:
+            return False
+        half = beside[token]
+        while half is not None:
+            below, added = half
+            if lost.get(below, added + 1) <= added:
+                return False
+            half = beside[below]
+        return True
+
+    def compile_labels(self) -> None:
+        """Transitions over letters: a label's last letter is another letter if a word ends with it."""
+        goto: list[dict[str, int]] = [{}]
+        self.token, self.length = [-1], [0]
+        for i in self.lost:
+            label = self.label[i]
+            ends = len(label) > len(self.suffix) and label.endswith(self.suffix)
+            letters = self.letters_of(label.removesuffix(self.suffix)) if ends else label
+            at = 0
+            for letter in letters:
+                if letter not in goto[at]:
+                    goto[at][letter] = len(goto)
+                    goto.append({})
+                    self.token.append(-1)
+                    self.length.append(0)
+                at = goto[at][letter]
+            self.token[at], self.length[at] = i, len(letters)
+        self.goto, self.failure, self.output = goto, [0] * len(goto), [0] * len(goto)
+        queue = deque(goto[0].values())
+        while queue:  # breadth first, so that failures of shorter labels are known
+            at = queue.popleft()
+            for letter, to in goto[at].items():
+                back = self.failure[at]
+                while back and letter not in goto[back]:
+                    back = self.failure[back]
+                back = self.failure[to] = goto[back].get(letter, 0) if at else 0
+                self.output[to] = back if self.token[back] >= 0 else self.output[back]
+                queue.append(to)
+
+    @staticmethod
+    def letters_of(word: str) -> str:
+        return word[:-1] + chr(ord(word[-1]) + LAST)
 
     def encode_word(self, word: str) -> list[int]:
-        """word: letters of the byte-level alphabet, not empty.
-
-        A walk along the arcs, the longest label first; a step back from a position without an arc marks it as dead
-        for the state that it was reached by, so no transition is taken twice.
-        """
-        n, vocab, suffix, reach, has_arc = len(word), self.vocab, self.suffix, self.reach, self.has_arc
-        path: list[tuple[int, int, int]] = []  # where a token starts, its length, the token
-        dead: set[tuple[int, int]] = set()
-        at, state, length = 0, -1, min(n, reach.get(word[:4], 3))
-        while at < n:
-            while length:
-                end = at + length
-                token = vocab.get(word[at:] + suffix if end == n else word[at:end])
-                if token is not None and (end, token) not in dead and (has_arc(state, token) if state >= 0 else self.made(token)):
+        """word: letters of the byte-level alphabet, not empty."""
+        goto, failure, output, token, length, has_arc = self.goto, self.failure, self.output, self.token, self.length, self.has_arc
+        last = [-1]  # by the number of letters read: the last token of the sequence accepted so far, and its length
+        lengths = [0]
+        at = 0
+        for n, letter in enumerate(self.letters_of(word) if self.suffix else word, 1):
+            while at and letter not in goto[at]:
+                at = failure[at]
+            at = goto[at].get(letter, 0)
+            ending = at if token[at] >= 0 else output[at]
+            while ending:
+                before = n - length[ending]
+                if not before or has_arc(last[before], token[ending]):
                     break
-                length -= 1
-            if length:
-                path.append((at, length, token))
-                at, state = end, token
-                length = min(n - at, reach.get(word[at : at + 4], 3))
-            elif not path:
+                ending = output[ending]
+            if not ending:
                 raise ValueError(f"a symbol outside the vocabulary in {word!r}")
-            else:
-                at, length, token = path.pop()
-                dead.add((at + length, token))
-                state = path[-1][2] if path else -1
-                length -= 1
-        return [token for _, _, token in path]
-
-    def made(self, token: int) -> bool:
-        known = self.arcs.get((-1, token))
-        if known is None:
-            half = self.left.get(token)
-            if half is None:
-                known = len(self.label[token].removesuffix(self.suffix)) == 1
-            else:
-                (u, k), (v, _) = half, self.right[token]
-                known = self.made(u) and self.made(v) and self.joined_by(u, v, k)
-            self.arcs[-1, token] = known
-        return known
-
-    def joined_by(self, u: int, v: int, k: int) -> bool:
-        """Whether u, v is an accepted pair in the automaton just before merge k."""
-        lost = self.lost_at(u, v)
-        if lost is not None and lost < k:
-            return False
-        below = v
-        while (half := self.left.get(below)) is not None:
-            below, made = half
-            lost = self.lost_at(u, below)
-            if lost is not None and lost <= made:
-                return False
-        return True
+            last.append(token[ending])
+            lengths.append(length[ending])
+        out, n = [], len(word)
+        while n:
+            out.append(last[n])
+            n -= lengths[n]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.label[i] for i in ids])
@@ -169,8 +167,7 @@ class WordCodec:
         self.library = Tokenizer.from_file(path)  # its normalizer and its split of unusual scripts
         with open(path, encoding="utf-8") as file:
             self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-        for text, i in self.special.items():
-            self.automaton.label[i] = text
+        self.automaton.label |= {i: text for text, i in self.special.items()}
         self.letters = byte_letters()
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
@@ -246,8 +243,9 @@ def _mapped(df: DataFrame, path: str, text: str, key: str, names: list[str], sch
 def encode_documents(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document the ids and the decoded text, by the vocabulary file at path.
 
-    Null and empty texts give no ids and an empty decoded text; rows are independent, so repeated rows, ties and
-    further columns (which are not read) have no effect; an empty table gives an empty one.
+    Null and empty texts give no ids and an empty decoded text; very long texts and words take time in proportion to their
+    length. Rows are independent, so repeated rows, ties and further columns (which are not read, whatever their names)
+    have no effect; an empty table gives an empty one.
     """
 
     def both(codec: WordCodec, t: str | None) -> tuple[list[int], str]:
