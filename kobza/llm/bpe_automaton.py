@@ -20,7 +20,6 @@ import hashlib
 import json
 from collections import deque
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -56,9 +55,7 @@ class Automaton:
         self.compile_labels()
 
     @classmethod
-    @lru_cache(maxsize=1)
     def load(cls, path: str) -> Automaton:
-        """The automaton of a vocabulary file; a Python worker keeps the last one for its next tasks."""
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         return cls(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
@@ -160,10 +157,10 @@ class Chunks(dict):
 class WordCodec:
     """Encodes and decodes whole texts; chunks between white space are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, automaton: Automaton | None = None):
         from tokenizers import Tokenizer
 
-        self.automaton = Automaton.load(path)
+        self.automaton = automaton or Automaton.load(path)
         self.library = Tokenizer.from_file(path)  # its normalizer and its split of unusual scripts
         with open(path, encoding="utf-8") as file:
             self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
@@ -228,11 +225,13 @@ class WordCodec:
 
 def _mapped(df: DataFrame, path: str, text: str, key: str, names: list[str], schema: str, of: Callable) -> DataFrame:
     key_type = df.schema[key].dataType.simpleString()
+    # Compiled once; its size is the vocabulary's.
+    automaton = df.sparkSession.sparkContext.broadcast(Automaton.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or WordCodec(path)
+            codec = codec or WordCodec(path, automaton.value)
             rows = [of(codec, t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=[key, *names]) if rows else pa.RecordBatch.from_pylist([])
