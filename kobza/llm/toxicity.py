@@ -4,11 +4,12 @@ Categories are predicted one after the other; each category's linear model sees,
 probabilities of the categories before it. While learning, those are out-of-fold predictions, so that a later model does
 not trust an earlier one more than unseen documents deserve.
 
-The labels mark documents as toxic or not and name no categories, so the chain of the query is: "marked" (a word of the
-learned list occurs), "repeated" (toxic, with marks in two places or more) and "toxic" (the label itself, decided last). The
-mark list holds the words and beginnings of words that the learning sample's toxic documents use most distinctly; words
-of prose that occur in both kinds alike carry no weight. Toxic and clean rows of the sample are weighted by the labelled
-rows that they stand for, so that a probability means the same however much of either kind the sample holds.
+The labels mark documents as toxic or not, and as of good quality or not. The chain of the query is: "toxic_good" (toxic
+in a text of good quality, such as abuse within fluent prose), "toxic_poor" (toxic in any other text) and "toxic" (the label
+itself, decided last). No category is known from the features. The models see how often words and beginnings of words
+occur that the learning sample's toxic documents use most distinctly; words of prose that occur in both kinds alike carry
+no weight. Toxic and clean rows of the sample are weighted by the labelled rows that they stand for, so that a
+probability means the same however much of either kind the sample holds.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from kobza.llm.common import map_arrow, sample_keys
 TOXIC, CLEAN, MARKS, FOLDS = 3000, 6000, 256, 5
 #: Lengths in bytes of the beginnings of words that may be marks, and distinct words that one task remembers.
 BEGINNINGS, MEMORY = (4, 5, 6, 7), 400_000
-CHAIN = ["marked", "repeated", "toxic"]
+CHAIN = ["toxic_good", "toxic_poor", "toxic"]
 #: ASCII letters in lower case, bytes beyond ASCII as they are, white space for the rest.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -127,9 +128,11 @@ class Model:
         return run_chain(np.array([self.features(words_of(t)) for t in texts]).reshape(len(texts), -1), self.models)
 
 
-def fit(documents: DataFrame, labels: DataFrame, held_out: Column, text: str, key: str, label: str) -> Model | None:
-    marks = labels.where(F.col(label).isNotNull() & ~held_out).select(key, F.col(label).cast("int").alias("_mark"))
-    keys = sample_keys(marks.where("_mark = 1"), key, TOXIC).withColumn("_mark", F.lit(1)).unionByName(sample_keys(marks.where("_mark = 0"), key, CLEAN).withColumn("_mark", F.lit(0)))
+def fit(documents: DataFrame, labels: DataFrame, held_out: Column, text: str, key: str, label: str, quality: str) -> Model | None:
+    # 0: clean, 1: toxic, 2: toxic and of good quality
+    kind = F.when(F.col(label).cast("int") == 1, F.when(F.col(quality).cast("int") == 1, 2).otherwise(1)).otherwise(0)
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out).select(key, kind.alias("_mark"))
+    keys = sample_keys(marks.where("_mark > 0"), key, TOXIC, ["_mark"]).unionByName(sample_keys(marks.where("_mark = 0"), key, CLEAN, ["_mark"]))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         # A document comes to the driver as its words' counts: the sample is bounded, and no text is cut.
@@ -138,36 +141,37 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: Column, text: str, ke
 
     sample = documents.select(key, text).join(F.broadcast(keys), key).select(F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"), "_mark", text)
     counted = Counter(), Counter()
-    sizes = [0, 0]
+    sizes = [0, 0, 0]
     rows = []
     for r in map_arrow(sample, of, "fold int, mark int, words binary").toLocalIterator():
         words = bytes(r.words).split()
         sizes[r["mark"]] += 1
-        counted[r["mark"]].update({m for w in set(words) for m in marks_of(w)})
+        counted[r["mark"] > 0].update({m for w in set(words) for m in marks_of(w)})
         rows.append((r.fold, r["mark"], bytes(r.words)))
-    if not all(sizes):
+    if not sizes[0] or not sum(sizes[1:]):
         return None
     labelled = {r["_mark"]: r["n"] for r in marks.groupBy("_mark").agg(F.count("*").alias("n")).collect()}
-    share = np.array([labelled[k] / sizes[k] for k in (0, 1)])  # labelled rows that each row of the sample stands for
+    share = np.array([labelled.get(k, 0) / max(1, n) for k, n in enumerate(sizes)])  # labelled rows that each row of the sample stands for
     rows.sort()
-    model = Model(mark_list(counted[1], counted[0], sizes[1], sizes[0]), [])
+    model = Model(mark_list(counted[1], counted[0], sum(sizes[1:]), sizes[0]), [])
     x = np.array([model.features(w.split()) for _, _, w in rows])
-    toxic = np.array([m for _, m, _ in rows], float)
-    weight = share[toxic.astype(int)]
+    kinds = np.array([m for _, m, _ in rows])
+    weight = share[kinds]
     weight *= len(weight) / weight.sum()
-    hits = x[:, -2] * 4
-    model.models = fit_chain(x, [(hits >= 1).astype(float), toxic * (hits >= 2), toxic], np.array([f for f, _, _ in rows]), weight)
+    model.models = fit_chain(x, [(kinds == 2).astype(float), (kinds == 1).astype(float), (kinds > 0).astype(float)], np.array([f for f, _, _ in rows]), weight)
     return model
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", quality: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """Per document: key, the columns to keep, held_out, a probability for each category of the chain, predicted (1: toxic).
 
-    Learns from labels where held_out (of the key alone) is false. Null and empty texts have no words and are judged by
-    that; rows are judged on their own, so repeated rows and ties agree; null labels teach nothing, other columns are not
-    read. Without both toxic and clean documents to learn from every probability is 0.
+    Learns from labels where held_out (of the key alone) is false, from TOXIC rows of each toxic kind and CLEAN others at
+    most. Null and empty texts have no words and are judged by that, very long ones by all of theirs. Rows are judged on
+    their own, so repeated rows and ties agree; a score of 0.5 is toxic. Null labels teach nothing, a null quality is not a good one; other
+    columns are not read, whatever their names. Without both toxic and clean documents to learn from, as with an empty
+    table, every probability is 0.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, held_out, text, key, label))
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, held_out, text, key, label, quality))
     keep = [c for c in keep or [] if c != key]
     kept = [key, *keep]
 
