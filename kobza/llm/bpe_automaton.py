@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kobza.llm.common import trimmed
+
 #: Fixed values of the byte-level alphabet: printable bytes stand for themselves, the others from U+0100 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -236,7 +238,7 @@ def _mapped(df: DataFrame, path: str, text: str, key: str, names: list[str], sch
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=[key, *names]) if rows else pa.RecordBatch.from_pylist([])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {key_type}, {schema}")
+    return df.select(key, text).mapInArrow(trimmed(run), f"{key} {key_type}, {schema}")
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -28,14 +28,27 @@ def crc_rest(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="kobza-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The frame's rows, written once to the session's checkpoint folder (set to a temporary one only if unset)."""
+    """The frame's rows, written once to the session's checkpoint folder."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kobza-checkpoint-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Replaces a table that is no longer needed by an empty one, in whatever store it is."""
+    spark.createDataFrame([], "nothing boolean").write.mode("overwrite").parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """A hint to collect the driver's garbage: Spark deletes shuffle files when nothing refers to them any more."""
     gc.collect()
@@ -60,6 +73,16 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches; afterwards what it held goes back to the system."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim_memory()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """function over each Arrow batch; a batch without rows is skipped."""
 
@@ -68,7 +91,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             if batch.num_rows:
                 yield function(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def shuffle_width(spark: SparkSession) -> int:

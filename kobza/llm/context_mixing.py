@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, release, shuffle_width
+from kobza.llm.common import durable, release, shuffle_width, trimmed
 from kobza.llm.jaccard import LOWER, Shingler, blocks, from_planes, mix, planes
 
 ORDERS = [1, 2, 3, 4, 5, 7]
@@ -142,7 +142,7 @@ def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 yield batch_of([row])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text, "held_out", "fold").mapInArrow(run, f"source long, bucket int, grams binary, counts binary, texts binary, keys array<{key_type}>, held array<boolean>")
+    return df.select(key, text, "held_out", "fold").mapInArrow(trimmed(run), f"source long, bucket int, grams binary, counts binary, texts binary, keys array<{key_type}>, held array<boolean>")
 
 
 def counts_of(data: bytes) -> np.ndarray:
@@ -414,7 +414,7 @@ def scored_blocks(df: DataFrame, key: str, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=["bucket", "block", "words", "learned", "counts", "tokens", "keys", "held", "n", "scores"])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, "words", "held_out", "score").mapInArrow(run, f"bucket int, block long, words binary, learned binary, counts binary, tokens binary, keys array<{key_type}>, held array<boolean>, n array<long>, scores array<double>")
+    return df.select(key, "words", "held_out", "score").mapInArrow(trimmed(run), f"bucket int, block long, words binary, learned binary, counts binary, tokens binary, keys array<{key_type}>, held array<boolean>, n array<long>, scores array<double>")
 
 
 def block_sums(dealt: DataFrame, key_type: str) -> DataFrame:

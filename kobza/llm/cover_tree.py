@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable
+from kobza.llm.common import durable, trimmed
 from kobza.llm.components import connected_components
 from kobza.llm.vectors import cosines, matrix, unit, usable
 
@@ -295,7 +295,7 @@ def nearest_cells(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=["id", "weight", "vector", "cell", "away"])
 
     types = dict(points.dtypes)
-    return points.select("id", "weight", "vector").mapInArrow(run, f"id {types['id']}, weight long, vector {types['vector']}, cell int, away double")
+    return points.select("id", "weight", "vector").mapInArrow(trimmed(run), f"id {types['id']}, weight long, vector {types['vector']}, cell int, away double")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id") -> DataFrame:

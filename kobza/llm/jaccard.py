@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, release, semi_join, shuffle_width, trim_memory
+from kobza.llm.common import durable, release, semi_join, shuffle_width, trimmed
 from kobza.llm.components import connected_components, star
 
 WIDTH, PERCENT = 5, 75
@@ -188,10 +188,9 @@ def packed_blocks(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
             kinds = [pa.int32(), *[pa.binary()] * 5, pa.list_(keys.type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([arrays[0], pa.array([block] * len(rows), pa.int64()), *arrays[1:]], names=["bucket", "block", "counts", "digests", "low", "common", "times", *META])
-        trim_memory()
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"bucket int, block long, counts binary, digests binary, low binary, common binary, times binary, {meta_schema(key_type)}")
+    return df.select(key, text).mapInArrow(trimmed(run), f"bucket int, block long, counts binary, digests binary, low binary, common binary, times binary, {meta_schema(key_type)}")
 
 
 META = ["keys", "sizes", "h1", "h2", "place", "hot", "hot_owner"]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import sample_keys
+from kobza.llm.common import sample_keys, trimmed
 
 #: Learning documents per language and learning steps; hidden units a direction; bytes read without a new start.
 DOCUMENTS, STEPS, HIDDEN, SPAN = 64, 500, 16, 24
@@ -189,9 +189,10 @@ def identify_languages(documents: DataFrame, held_out: Column, text: str = "text
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 labeller = labeller or Labeller(model.value)
-                found = labeller.documents(batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*kept, "held_out", "lang_pred", "score"])
+                found = labeller.documents(batch.column(texts_at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*kept, "held_out", "lang_pred", "score"])
 
     types = dict(documents.dtypes)
+    texts_at = kept.index(text) if text in kept else len(kept) + 1  # a text that is kept is sent once
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "held_out boolean", "lang_pred string", "score double"])
-    return documents.select(*kept, held_out.alias("held_out"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return documents.select(*(f"`{c}`" for c in kept), held_out.alias("held_out"), *([] if text in kept else [F.col(text).alias("_text")])).mapInArrow(trimmed(run), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable
+from kobza.llm.common import durable, trimmed
 
 #: Distinct chunks that one task remembers; beyond it the memory is emptied, which costs time only.
 MEMORY = 400_000
@@ -114,7 +114,7 @@ def tokenize_pieces(df: DataFrame, path: str, ranks: str, capacity: int, separat
                 piece, start, length, crc = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[key, "piece", "start", "length", "ids_crc32"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {key_type}, {PIECES}")
+    return df.select(key, text).mapInArrow(trimmed(run), f"{key} {key_type}, {PIECES}")
 
 
 def best_fit(counts: list[int], room: int) -> list[int]:
@@ -337,7 +337,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], names=[*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*kept, "_rank").mapInArrow(run, schema)
+    return ranked.select(*kept, "_rank").mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(df: DataFrame, path: str, ranks: str, capacity: int = 1024, separator: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import map_arrow, sample_keys
+from kobza.llm.common import map_arrow, sample_keys, trimmed
 
 #: Bounds of the sample that the model is fitted on.
 POSITIVES, UNLABELLED = 2500, 5000
@@ -115,4 +115,4 @@ def score_quality(documents: DataFrame, labels: DataFrame, held_out: Column, tex
             scores = np.array([sigmoid(features(t) @ weights[:-1] + weights[-1]) for t in batch.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
-    return documents.select(key, held_out.alias("held_out"), text).mapInArrow(run, f"{key} {key_type}, held_out boolean, score double, predicted int")
+    return documents.select(key, held_out.alias("held_out"), text).mapInArrow(trimmed(run), f"{key} {key_type}, held_out boolean, score double, predicted int")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import map_arrow, sample_keys
+from kobza.llm.common import map_arrow, sample_keys, trimmed
 
 #: Bounds of the sample that the chain is fitted on; length of the mark list; folds.
 TOXIC, CLEAN, MARKS, FOLDS = 3000, 6000, 256, 5
@@ -178,11 +178,12 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+                texts = batch.column(texts_at).to_pylist()
                 found = model.value.probabilities(texts) if model.value else [np.zeros(len(texts))] * len(CHAIN)
                 out = [*(batch.column(i) for i in range(len(kept) + 1)), *map(pa.array, found), pa.array((found[-1] >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, "held_out", *(f"p_{c}" for c in CHAIN), "predicted"])
 
     types = dict(documents.dtypes)
+    texts_at = kept.index(text) if text in kept else len(kept) + 1  # a text that is kept is sent once
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "held_out boolean", *(f"p_{c} double" for c in CHAIN), "predicted int"])
-    return documents.select(*kept, held_out.alias("held_out"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return documents.select(*(f"`{c}`" for c in kept), held_out.alias("held_out"), *([] if text in kept else [F.col(text).alias("_text")])).mapInArrow(trimmed(run), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable
+from kobza.llm.common import durable, trimmed
 from kobza.llm.vectors import cosines, matrix, unit, usable
 
 #: Points of a shard and queries of a block on average, points of a leaf.
@@ -151,6 +151,6 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, factor: floa
                     id_arrow = batch.schema.field("q_ids").type.value_type.value_type
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_arrow), pa.array(columns[1], id_arrow), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(run, f"query_id {id_type}, vec_id {id_type}, score double")
+    found = met.mapInArrow(trimmed(run), f"query_id {id_type}, vec_id {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
