@@ -62,21 +62,48 @@ BASES = {
 PREFIXES = {"к": "кіло", "м": "мілі", "с": "санти", "д": "деци", "мк": "мікро", "н": "нано", "М": "мега", "Г": "гіга"}
 PREFIXED = {"м": ["к", "м", "с", "д", "мк", "н"], "г": ["к", "м"], "л": ["м"], "Гц": ["к", "М", "Г"], "с": ["м"]}
 OTHER_UNITS = {
+    "K": ("кельвін", "кельвіни", "кельвінів", "кельвіна", "m"), "\u212a": ("кельвін", "кельвіни", "кельвінів", "кельвіна", "m"),
+    "м/с": ("метр за секунду", "метри за секунду", "метрів за секунду", "метра за секунду", "m"),
+    "м/с²": ("метр за секунду в квадраті", "метри за секунду в квадраті", "метрів за секунду в квадраті", "метра за секунду в квадраті", "m"),
     "т": ("тонна", "тонни", "тонн", "тонни", "f"), "год": ("година", "години", "годин", "години", "f"), "хв": ("хвилина", "хвилини", "хвилин", "хвилини", "f"),
     "га": ("гектар", "гектари", "гектарів", "гектара", "m"), "км/год": ("кілометр на годину", "кілометри на годину", "кілометрів на годину", "кілометра на годину", "m"),
     "°C": ("градус Цельсія", "градуси Цельсія", "градусів Цельсія", "градуса Цельсія", "m"), "мг/мл": ("міліграм на мілілітр", "міліграми на мілілітр", "міліграмів на мілілітр", "міліграма на мілілітр", "m"),
 }
+# By code the symbol, word pattern, forms and gender of the unit and of its part, decimal places of the part. Earlier ones win.
 CURRENCIES = {
-    "UAH": ("₴", "грн|гривень|гривні|гривня", ("гривня", "гривні", "гривень"), "f", ("копійка", "копійки", "копійок"), "f"),
-    "USD": ("$", "долар(?:ів|и|а)?", ("долар", "долари", "доларів"), "m", ("цент", "центи", "центів"), "m"),
-    "EUR": ("€", "євро", ("євро", "євро", "євро"), "m", ("євроцент", "євроценти", "євроцентів"), "m"),
-    "GBP": ("£", "фунт(?:ів|и|а)?", ("фунт", "фунти", "фунтів"), "m", ("пенс", "пенси", "пенсів"), "m"),
-}
+    "UAH": ("₴", "грн|грив(?:ень|ні|ня)", ("гривня", "гривні", "гривень"), "f", ("копійка", "копійки", "копійок"), "f", 2),
+    "USD": ("$", "долар(?:ів|и|а)?", ("долар", "долари", "доларів"), "m", ("цент", "центи", "центів"), "m", 2),
+    "EUR": ("€", "євро", ("євро", "євро", "євро"), "m", ("євроцент", "євроценти", "євроцентів"), "m", 2),
+    "GBP": ("£", "фунт(?:ів|и|а)?", ("фунт", "фунти", "фунтів"), "m", ("пенс", "пенси", "пенсів"), "m", 2),
+    "PLN": ("zł", "злот(?:их|і|ий)", ("злотий", "злоті", "злотих"), "m", ("ґрош", "ґроші", "ґрошів"), "m", 2),
+    "CHF": ("", "франк(?:ів|и|а)?", ("франк", "франки", "франків"), "m", ("сантим", "сантими", "сантимів"), "m", 2),
+    "JPY": ("¥", "єн(?:а|и)?", ("єна", "єни", "єн"), "f", ("сена", "сени", "сен"), "f", 0),
+    "CNY": ("", "юан(?:ів|і|ь|я)", ("юань", "юані", "юанів"), "m", ("фень", "фені", "фенів"), "m", 2),
+    "CZK": ("", "", ("чеська крона", "чеські крони", "чеських крон"), "f", ("гелер", "гелери", "гелерів"), "m", 2),
+    "TRY": ("₺", "лір(?:а|и)?", ("ліра", "ліри", "лір"), "f", ("куруш", "куруші", "курушів"), "m", 2),
+    "INR": ("₹", "рупі(?:я|ї|й)", ("рупія", "рупії", "рупій"), "f", ("пайса", "пайси", "пайс"), "f", 2),
+    "AED": ("", "", ("дирхам ОАЕ", "дирхами ОАЕ", "дирхамів ОАЕ"), "m", ("філс", "філси", "філсів"), "m", 2),
+    "AZN": ("₼", "", ("азербайджанський манат", "азербайджанські манати", "азербайджанських манатів"), "m", ("гяпік", "гяпіки", "гяпіків"), "m", 2),
+    "BSD": ("", "", ("багамський долар", "багамські долари", "багамських доларів"), "m", ("цент", "центи", "центів"), "m", 2),
+    "BHD": ("", "", ("бахрейнський динар", "бахрейнські динари", "бахрейнських динарів"), "m", ("філс", "філси", "філсів"), "m", 3),
+    "BYN": ("", "", ("білоруський рубль", "білоруські рублі", "білоруських рублів"), "m", ("копійка", "копійки", "копійок"), "f", 2),
+}
+# By code the forms (one, few, many, decimal) and the gender of what is traded.
+FINANCE = {
+    "BTC": ("біткоїн", "біткоїни", "біткоїнів", "біткоїна", "m"), "ETH": ("ефір", "ефіри", "ефірів", "ефіра", "m"),
+    "USDT": ("тезер", "тезери", "тезерів", "тезера", "m"), "BNB": ("бі ен бі", "бі ен бі", "бі ен бі", "бі ен бі", "m"),
+}
+# Time zones with a reading; codes for symbols with a country before them.
+ZONES = {
+    "europe/kyiv": "за київським часом", "europe/london": "за лондонським часом", "europe/warsaw": "за варшавським часом",
+    "america/new_york": "за нью-йоркським часом", "america/los_angeles": "за лос-анджелеським часом", "asia/tokyo": "за токійським часом",
+}
+REGIONAL = {"US$": "USD", "CA$": "CAD", "AU$": "AUD", "NZ$": "NZD", "HK$": "HKD", "SG$": "SGD", "JP¥": "JPY", "CN¥": "CNY", "R$": "BRL"}
 #: Masculine nouns with a regular declension, and the endings of few and many; feminine and neuter ones by their ending.
 NOUNS = "документ користувач файл товар студент учень день місяць рік тиждень раз друг пункт".split()
 IRREGULAR = {"учень": ("учні", "учнів"), "день": ("дні", "днів"), "місяць": ("місяці", "місяців"), "рік": ("роки", "років"), "тиждень": ("тижні", "тижнів"), "раз": ("рази", "разів"), "друг": ("друзі", "друзів"), "користувач": ("користувачі", "користувачів")}
-FEMININE, NEUTER = "заявка книга сторінка людина хвилина година".split(), "місто місце".split()
-FEMININE_MANY = {"заявка": "заявок", "сторінка": "сторінок", "людина": "людей"}
+FEMININE, NEUTER = "заявка книга сторінка людина дитина хвилина година".split(), "місто місце".split()
+FEMININE_MANY = {"заявка": "заявок", "сторінка": "сторінок", "людина": "людей", "дитина": "дітей"}
 
 
 def units() -> dict[str, tuple[str, str, str, str, str]]:
@@ -102,6 +129,9 @@ class Lexicons:
     nouns: dict = field(default_factory=nouns)
     abbreviations: dict = field(default_factory=lambda: dict(ABBREVIATIONS))
     acronyms: dict = field(default_factory=lambda: dict(ACRONYMS))
+    currencies: dict = field(default_factory=lambda: dict(CURRENCIES))
+    finance: dict = field(default_factory=lambda: dict(FINANCE))
+    oblique: dict = field(default_factory=dict)  # case forms of nouns and their case: instr or prep
     words: dict = field(default_factory=lambda: ENGLISH | BRANDS)  # Latin words in lower case and their readings; brands win
 
     @classmethod
@@ -115,6 +145,13 @@ class Lexicons:
         out.nouns |= {r["key"]: (r["one"], r["few"], r["many"], r["gender"]) for r in rows.get("counted_nouns", [])}
         out.abbreviations = {r["key"]: r["expansion"] for r in rows.get("abbreviations", [])} or out.abbreviations
         out.acronyms |= {r["acronym"]: r["expansion"] for r in rows.get("acronyms", [])}
+        out.oblique |= {r["key"]: r["grammatical_case"] for r in rows.get("counted_oblique", [])}
+        out.finance |= {r["code"]: (r["one"], r["few"], r["many"], r["decimal"], "f" if r["feminine"] == "1" else "m") for r in rows.get("finance_units", [])}
+        found = {
+            r["code"]: (r["symbol"], r["word_re"].replace("(", "(?:"), (r["main_one"], r["main_few"], r["main_many"]), "f" if r["main_fem"] == "1" else "m", (r["sub_one"], r["sub_few"], r["sub_many"]), "f" if r["sub_fem"] == "1" else "m", int(r["minor_digits"]))
+            for r in rows.get("currencies", [])
+        }
+        out.currencies = found or out.currencies
         for n in ("english_words", "brands"):  # brands win
             out.words |= {r["latin"].lower(): r["cyrillic"] for r in rows.get(n, [])}
         return out
