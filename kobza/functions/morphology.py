@@ -6,7 +6,7 @@ Null gives null. Negative numbers have no words here: null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,36 +106,34 @@ def plural(n: Column, forms: Sequence[str]) -> Column:
     return F.get(words(forms), plural_index(n))
 
 
-def triad(n: Column) -> Column:
-    """Words of a number below 1000, with empty ones for absent places."""
-    rest = n % 100
-    small = words(["", *DIGITS[1:], *TEENS])
-    return F.array(F.get(words(HUNDREDS), F.floor(n / 100).cast("int")), F.when(rest < 20, F.get(small, rest.cast("int"))).otherwise(F.get(words(TENS), F.floor(rest / 10).cast("int"))), F.when(rest < 20, F.lit("")).otherwise(F.get(small, (rest % 10).cast("int"))))
+def triad_words(feminine: bool = False, change: Mapping[str, str] | None = None) -> list[str]:
+    """Numbers below 1000 in words, by rule; nothing for 0. change: words to put for words."""
+    small = ["", *DIGITS[1:], *TEENS]
+    out = [""]
+    for n in range(1, 1000):
+        rest = n % 100
+        named = [HUNDREDS[n // 100], small[rest]] if rest < 20 else [HUNDREDS[n // 100], TENS[rest // 10], small[rest % 10]]
+        named = [{"один": "одна", "два": "дві"}.get(w, w) if feminine else w for w in named if w]
+        out.append(" ".join((change or {}).get(w, w) for w in named))
+    return out
 
 
-def feminine(word: Column) -> Column:
-    return F.when(word == "один", F.lit("одна")).when(word == "два", F.lit("дві")).otherwise(word)
-
-
-def neuter(word: Column) -> Column:
-    return F.when(word == "один", F.lit("одне")).otherwise(word)
-
-
-def number_word_array(n: Column) -> Column:
-    """The words of a number; from 10**18 on those of its digits."""
+def cardinal(n: Column, change: Mapping[str, str] | None = None, last: Callable[[str], str] = lambda w: w) -> Column:
+    """A number in words, each triad looked up in a constant array. change: words to put for words; last: what becomes of
+    the last triad's last word. From 10**18 on digit by digit."""
     n = n.cast("long")
-
-    def parts(n: Column) -> Column:
-        out = []
-        for value, forms in SCALES:
-            count = whole(n, value) % 1000
-            named = triad(count)
-            if value == 1000:
-                named = F.when(count == 1, F.array().cast("array<string>")).otherwise(F.transform(named, feminine))
-            out.append(F.when(count > 0, F.concat(named, F.array(plural(count, forms)))).otherwise(F.array().cast("array<string>")))
-        return F.filter(F.concat(*out, triad(n % 1000)), lambda w: w != "")
-
-    return F.when(n == 0, F.array(F.lit(DIGITS[0]))).when(n >= F.lit(LARGEST), F.split(digit_words(n.cast("string")), " ")).when(n > 0, let(n, parts))
+    masculine, thousands = words(triad_words(change=change)), words(triad_words(True, change))
+    parts = []
+    for value, forms in SCALES:
+        count = (whole(n, value) % 1000).cast("int")
+        named = [(change or {}).get(f, f) for f in forms]
+        triad = F.when(count > 1, F.get(thousands, count)) if value == 1000 else F.get(masculine, count)  # one thousand is the noun alone
+        parts.append(F.when(count > 0, F.concat_ws(" ", triad, plural(count, named))))
+    ends = [" ".join([*w.split(" ")[:-1], last(w.split(" ")[-1])]) for w in triad_words(change=change)]
+    rest = (n % 1000).cast("int")
+    said = F.concat_ws(" ", *parts, F.when(rest > 0, F.get(words(ends), rest)))
+    zero = last((change or {}).get(DIGITS[0], DIGITS[0]))
+    return F.when(n == 0, F.lit(zero)).when(n >= F.lit(LARGEST), digit_words(n.cast("string"))).when(n > 0, said)
 
 
 def digit_words(digits: Column) -> Column:
@@ -146,19 +144,18 @@ def digit_words(digits: Column) -> Column:
 
 def number_to_words(n: Column) -> Column:
     """The cardinal, nominative masculine; from 10**18 on digit by digit."""
-    return F.array_join(number_word_array(n), " ")
+    return cardinal(n)
 
 
 def number_to_words_gender(n: Column, gender: str) -> Column:
     """gender: m, f or n; it shows in the last word."""
-    change = {"m": lambda w: w, "f": feminine, "n": neuter}[gender]
-    return F.array_join(let(number_word_array(n), lambda ws: F.concat(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.array(change(F.element_at(ws, -1))))), " ")
+    change = {"m": {}, "f": {"один": "одна", "два": "дві"}, "n": {"один": "одне"}}[gender]
+    return cardinal(n, last=lambda w: change.get(w, w))
 
 
 def number_to_words_case(n: Column, case: str) -> Column:
     """case: gen, dat, instr or prep; words without forms stay."""
-    forms = table({w: f[CASES.index(case)] for w, f in CASES_OF.items()})
-    return F.array_join(F.transform(number_word_array(n), lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
+    return cardinal(n, {w: f[CASES.index(case)] for w, f in CASES_OF.items()})
 
 
 def inflect_ordinal(word: Column, form: str) -> Column:
@@ -174,7 +171,13 @@ def number_to_ordinal_words(n: Column, form: str = "nom_m") -> Column:
     n = n.cast("long")
     ordinals = table(ORDINAL_OF)
     prefix = F.get(words(THOUSANDTHS), (whole(n, 1000) - 2).cast("int"))
-    named = let(number_word_array(n), lambda ws: F.array_join(F.concat(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.array(let(F.element_at(ws, -1), lambda w: inflect_ordinal(F.coalesce(F.try_element_at(ordinals, w), w), form)))), " "))
+
+    def last_inflected(said: Column) -> Column:
+        last = F.substring_index(said, " ", -1)
+        ordinal = inflect_ordinal(F.coalesce(F.try_element_at(ordinals, last), last), form)
+        return F.concat(F.substring(said, F.lit(1), F.length(said) - F.length(last)), ordinal)
+
+    named = let(number_to_words(n), last_inflected)
     return F.when(n.between(2000, 9000) & (n % 1000 == 0), inflect_ordinal(F.concat(prefix, F.lit("тисячний")), form)).otherwise(named)
 
 

@@ -51,11 +51,9 @@ def expand_abbreviations(text: Column) -> Column:
 
 def transliterate_to_cyrillic(text: Column) -> Column:
     """Latin to Cyrillic, the longest unit first; the case is dropped, other characters stay."""
-    out = text
-    for latin, cyrillic in sorted(UNITS, key=lambda u: (u[0] != "ts", -len(u[0]))):
-        out = F.regexp_replace(out, f"(?i){latin}", cyrillic)
-    for latin, cyrillic in (("[xX]", "кс"), ("[jJ]", "дж"), ("[ñÑ]", "нь"), ("ß", "сс")):
-        out = F.regexp_replace(out, latin, cyrillic)
+    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for latin, cyrillic in (*sorted(UNITS, key=lambda u: (u[0] != "ts", -len(u[0]))), ("x", "кс"), ("j", "дж"), ("ñ", "нь"), ("Ñ", "нь"), ("ß", "сс")):
+        out = F.replace(out, F.lit(latin), F.lit(cyrillic))
     latin = "".join(SINGLES) + "".join(SINGLES).upper()
     cyrillic = "".join(SINGLES.values()) * 2
     for target, letters in DIACRITICS.items():

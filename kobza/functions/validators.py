@@ -8,15 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kobza.functions.expressions import let
+from kobza.sources.lexicons import IBAN_LENGTHS, VIN_WEIGHTS
 
-# Lengths of account numbers by country, of digests by algorithm, weights of vehicle numbers.
-IBAN_LENGTHS = (
-    "AL28 AD24 AT20 AZ28 BH22 BE16 BA20 BR29 BG22 CR22 HR21 CY28 CZ24 DK18 DO28 EE20 FO18 FI18 FR27 GE22 DE22 GI23 GR27 GL18 GT28 "
-    "HU28 IS26 IE22 IL23 IT27 JO30 KZ20 XK20 KW30 LV21 LB28 LI21 LT20 LU20 MT31 MR27 MU30 MC27 MD24 ME22 NL18 MK19 NO15 PK24 PS29 "
-    "PL28 PT25 QA29 RO24 LC32 SM27 ST25 SA24 RS22 SC31 SK24 SI19 ES24 SE24 CH21 TL23 TN24 TR26 UA29 AE23 GB22 VA22 VG24"
-)
+# Lengths of digests by algorithm.
 DIGEST_LENGTHS = {"MD5": 32, "SHA1": 40, "SHA224": 56, "SHA256": 64, "SHA384": 96, "SHA512": 128, "SHA3256": 64, "SHA3512": 128, "BLAKE2S": 64, "BLAKE2B": 128}
-VIN_WEIGHTS = [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]
 ROMAN = "^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
@@ -74,7 +69,7 @@ def valid_issn(value: Column) -> Column:
 
 
 def valid_iban(value: Column) -> Column:
-    lengths = F.create_map(*[x for part in IBAN_LENGTHS.split() for x in (F.lit(part[:2]), F.lit(int(part[2:])))])
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
 
     def check(c: Column) -> Column:
         turned = characters(F.concat(F.substring(c, 5, 34), F.substring(c, 1, 4)))

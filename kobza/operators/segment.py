@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,9 +202,14 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spans(split: Callable[[str], list[tuple[int, int, str]]]) -> Callable[[Column], Column]:
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"start": a, "stop": b, "text": s} for a, b, s in split(t)])
+    @F.arrow_udf(SPANS)
+    def run(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else split(t) for t in texts.to_pylist()]
+        rows = [s for f in found if f for s in f]
+        start, stop, part = zip(*rows, strict=True) if rows else ((), (), ())
+        values = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(part, pa.string())], names=["start", "stop", "text"])
+        ends = list(accumulate((len(f or ()) for f in found), initial=0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([f is None for f in found]))
 
     return run
 

@@ -14,6 +14,7 @@ from kobza.operators.diagnostics import flag_uncertain
 from kobza.operators.normalize import normalize_many
 from kobza.operators.segment import split_sentences, tokenize
 from kobza.operators.spans import summarize
+from kobza.plans import checks
 from kobza.sources.text import lines
 
 
@@ -118,7 +119,7 @@ QUERIES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, *checks.QUERIES]}
 
 
 def sql_list(values: list[str]) -> str:
@@ -193,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
     upper, lower = T.UPPER + T.RUSSIAN_UPPER, T.LOWER + T.RUSSIAN_LOWER
     latin = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     spans = r"SELECT unnest(regexp_extract_all(text, '\b[0-9]+\b')) AS t, 'BareNumber' AS category, 'Info' AS severity FROM documents UNION ALL SELECT unnest(regexp_extract_all(text, '\b[A-Z]{2,}\b')), 'ForeignWord', 'Warning' FROM documents"
-    return {
+    return checks.oracle_sql(sql_words, sql_ordinal, sql_list) | {
         "number_words": f"SELECT o_orderkey, array_to_string(w, ' ') AS words FROM {listed}",
         "number_words_large": f"SELECT o_orderkey, array_to_string({sql_words(key + ' * 1000003')}, ' ') AS words FROM orders",
         "number_digits": f"SELECT o_orderkey, array_to_string({digits}, ' ') AS words FROM orders",

@@ -2,9 +2,7 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
-
-from kobza.operators.diagnostics import detectors, spans_of
+from kobza.operators.diagnostics import scanner
 from kobza.plans.queries import queries
 from kobza.sources.lexicons import Lexicons
 
@@ -15,16 +13,13 @@ LOOSE = {"BareNumber", "Unit", "ForeignWord", "Time"}
 def test_queries_are_brute_force(spark, tmp_path):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id int, text string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    arrays = [spans_of(d, F.col("text")) for d in detectors(None, sorted(Lexicons().words))]
-    expected = Counter()
-    for row in df.select("doc_id", F.concat(*arrays).alias("found")).collect():
-        first = {}
-        for s in row.found or []:
-            first.setdefault((s.start, s.stop), s)
-        holders = [p for p, s in first.items() if s.category in ("Identifier", "Time")]
-        for (a, b), s in first.items():
-            if s.category not in LOOSE or not any(x <= a and b <= y and (x, y) != (a, b) for x, y in holders):
-                expected[row.doc_id, a, b, s.text, s.reason, s.category, s.severity] += 1
+    scan, expected = scanner(None, Lexicons()), Counter()
+    for row in df.collect():
+        first = scan.first_found(row.text or "")
+        for (a, b), (reason, category, severity) in first.items():
+            held = [p for p, (_, c, _) in first.items() if c in ("Identifier", "Time") and p[0] <= a and b <= p[1] and p != (a, b)]
+            if category not in LOOSE or not held:
+                expected[row.doc_id, a, b, row.text[a:b], reason, category, severity] += 1
     got = Counter(tuple(r) for r in queries()["diagnostic_spans"](spark, str(tmp_path)).collect())
     assert got == expected and len(got) > 20
     summary = {(r.kind, r.name): r["count"] for r in queries()["diagnostic_summary"](spark, str(tmp_path)).collect()}
