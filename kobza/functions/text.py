@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,14 @@ def transliterate_to_cyrillic(text: Column) -> Column:
     return F.translate(out, latin, cyrillic)
 
 
+def cyrilize(text: Column) -> Column:
+    warnings.warn("use transliterate_to_cyrillic", DeprecationWarning, stacklevel=2)
+    return transliterate_to_cyrillic(text)
+
+
+cyrrilize = cyrilize
+
+
 def repair_homoglyphs(text: Column) -> Column:
     """In words of both scripts the script with fewer letters gives way, if all its letters look like the other's."""
     cyrillic = UPPER + LOWER + RUSSIAN_UPPER + RUSSIAN_LOWER

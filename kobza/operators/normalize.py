@@ -278,8 +278,8 @@ def build(options: NormalizeOptions, lexicons: L.Lexicons) -> Callable[[str], st
     return run
 
 
-def normalize(text: Column, options: NormalizeOptions | None = None, lexicons: L.Lexicons | None = None) -> Column:
-    """Null gives null, and the empty string itself."""
+def normalize_udf(options: NormalizeOptions | None = None, lexicons: L.Lexicons | None = None):
+    """A function of one text column, which can also be registered for SQL. Null gives null, and the empty string itself."""
     chosen, tables = options or NormalizeOptions(), lexicons or L.Lexicons()
 
     @F.pandas_udf("string")
@@ -289,7 +289,11 @@ def normalize(text: Column, options: NormalizeOptions | None = None, lexicons: L
             memo = {t: rewrite(t) for t in batch.dropna().unique()}
             yield batch.map(lambda t, memo=memo: memo.get(t))
 
-    return run(text)
+    return run
+
+
+def normalize(text: Column, options: NormalizeOptions | None = None, lexicons: L.Lexicons | None = None) -> Column:
+    return normalize_udf(options, lexicons)(text)
 
 
 def normalize_many(df: DataFrame, text: str, out: str, options: NormalizeOptions | None = None, lexicons: L.Lexicons | None = None) -> DataFrame:

@@ -63,3 +63,16 @@ class NormalizeOptions:
         if name not in PRESETS:
             raise ValueError(f"unknown preset {name!r}")
         return replace(cls(**PRESETS[name]), **overrides)
+
+
+def chosen_options(options: NormalizeOptions | dict | None = None, preset: str | None = None, vocabulary: dict[str, str] | None = None) -> NormalizeOptions:
+    """What a call asks for: options or a preset, not both; a dict in place of options is a vocabulary; a vocabulary is
+    merged over a copy of the options' own."""
+    if isinstance(options, dict):
+        if vocabulary is not None:
+            raise TypeError("a vocabulary was given twice")
+        options, vocabulary = None, options
+    if options is not None and preset is not None:
+        raise TypeError("either options or a preset")
+    found = options if options is not None else NormalizeOptions.preset(preset or "default")
+    return replace(found, vocabulary=found.vocabulary | {k.lower(): v for k, v in (vocabulary or {}).items()})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,16 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
 
 
+def inline(spark: SparkSession, *parts: str) -> DataFrame:
+    """One document: the parts joined by a space."""
+    return spark.createDataFrame([(" ".join(parts),)], "text string")
+
+
+def standard_input(spark: SparkSession) -> DataFrame:
+    """One document: all that stands on the driver's standard input."""
+    return spark.createDataFrame([(sys.stdin.read(),)], "text string")
+
+
 def lines(df: DataFrame, text: str = "text", keep_last_empty: bool = True) -> DataFrame:
     """The frame's rows, one for each line: line_no from 1, line without its line end.
 
@@ -32,14 +43,14 @@ class VocabularyError(ValueError):
     """A table of readings that breaks a rule; the message has the line."""
 
 
-def checked(pairs: list[tuple[str, str, str]]) -> dict[str, str]:
+def checked(pairs: list[tuple[str, str, str]], trimmed: bool = True) -> dict[str, str]:
     """Readings by lower-case word. pairs: where it stands, word, reading."""
     out: dict[str, str] = {}
     for where, word, reading in pairs:
         if not KEY.fullmatch(word):
             raise VocabularyError(f"{where}: {word!r} is no Latin word")
-        if not reading or reading != reading.strip():
-            raise VocabularyError(f"{where}: a reading must not be empty or have blanks at its ends")
+        if not reading or (trimmed and reading != reading.strip()):
+            raise VocabularyError(f"{where}: a reading must not be empty{' or have blanks at its ends' if trimmed else ''}")
         if word.lower() in out:
             raise VocabularyError(f"{where}: {word!r} stands twice")
         out[word.lower()] = reading
@@ -64,4 +75,4 @@ def vocabulary_from(readings: dict[str, str]) -> dict[str, str]:
     for k, v in readings.items():
         if not isinstance(k, str) or not isinstance(v, str):
             raise TypeError("words and readings are strings")
-    return checked([("entry", k, v) for k, v in readings.items()])
+    return checked([("entry", k, v) for k, v in readings.items()], trimmed=False)
