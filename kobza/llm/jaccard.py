@@ -2,9 +2,10 @@
 
 1. Documents with equal sets form a class, which its smallest key stands for.
 2. Every document's distinct shingles are hashed in blocks of documents; copies within a block are sent once. Hashes are
-   dealt by value, packed. Each bucket counts in how many classes a shingle occurs and answers each block with its shared
-   ones only: a shingle of one class can't be part of an intersection with another. A shingle that many documents of a
-   block have is counted there, and only its count is dealt, so that a very common one is no hot key. A document with too
+   dealt by value, packed. Each bucket counts how often a shingle came and answers each block with its shared ones only: a
+   shingle that came once can't be part of an intersection (one that only copies in several blocks have counts as shared
+   too, which costs a little and loses nothing). A shingle that many documents of a block have is counted there, and only
+   its count is dealt, so that a very common one is no hot key. A document with too
    few shared shingles to reach the threshold leaves; most do.
 3. Shingles are ordered by count, rare ones first. Two sets that reach the threshold share one of the first
    ``n - ceil(t * n) + 1``, the prefix. Representatives with identical prefixes and sizes form one group; posting lists
@@ -35,7 +36,7 @@ from kobza.llm.components import connected_components, star
 
 WIDTH, PERCENT = 5, 75
 #: Documents and bytes of a block; a longer document is a block of its own.
-BLOCK_ROWS, BLOCK_BYTES = 2000, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2000, 2 << 20
 #: Bytes of text for each bucket of shingles, and bytes of sets for each bucket of partners.
 BUCKET_BYTES, SPOT_BYTES = 4 << 20, 8 << 20
 #: A shingle of more than this share of a block's classes is counted in the block.
@@ -141,7 +142,7 @@ def codes(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def packed_blocks(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
-    """Rows of one block and bucket: classes with their digests and counts, the low 48 bits of their codes, and those of common
+    """Rows of one block and bucket: documents and how many codes each has, the low 48 bits of the codes, and those of common
     shingles with their counts. One row of each block also has its keys, set sizes and set digests, each document's
     place of its class, and where the common shingles occur."""
 
@@ -181,16 +182,16 @@ def packed_blocks(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
                 count = np.bincount(owner[start:stop], minlength=len(sets))
                 has = np.flatnonzero(count)
                 common_here = (hot_raw[hot_start:hot_stop].tobytes(), planes(hot_times[hot_start:hot_stop])) if hot_stop > hot_start else (None, None)
-                rows.append((b, planes(np.concatenate([has, count[has]]).astype(np.uint32)), short(digests[0][has]).tobytes(), raw[start:stop].tobytes(), *common_here, *[None] * 7))
+                rows.append((b, planes(np.concatenate([has, count[has]]).astype(np.uint32)), raw[start:stop].tobytes(), *common_here, *[None] * 7))
             meta = keys.to_pylist(), sizes.tolist(), digests[0].view(np.int64).tolist(), digests[1].view(np.int64).tolist(), place.tolist()
-            rows.append((block % (1 << bits), *[None] * 5, *meta, hot_values.tobytes() + hot_times.tobytes(), planes(hot_owner)))
+            rows.append((block % (1 << bits), *[None] * 4, *meta, hot_values.tobytes() + hot_times.tobytes(), planes(hot_owner)))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), *[pa.binary()] * 5, pa.list_(keys.type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), *[pa.binary()] * 4, pa.list_(keys.type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([arrays[0], pa.array([block] * len(rows), pa.int64()), *arrays[1:]], names=["bucket", "block", "counts", "digests", "low", "common", "times", *META])
+            yield pa.RecordBatch.from_arrays([arrays[0], pa.array([block] * len(rows), pa.int64()), *arrays[1:]], names=["bucket", "block", "counts", "low", "common", "times", *META])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(trimmed(run), f"bucket int, block long, counts binary, digests binary, low binary, common binary, times binary, {meta_schema(key_type)}")
+    return df.select(key, text).mapInArrow(trimmed(run), f"bucket int, block long, counts binary, low binary, common binary, times binary, {meta_schema(key_type)}")
 
 
 META = ["keys", "sizes", "h1", "h2", "place", "hot", "hot_owner"]
@@ -201,29 +202,23 @@ def meta_schema(key_type: str) -> str:
 
 
 def answers(dealt: DataFrame, key_type: str) -> DataFrame:
-    """Back to each block: owner, code and class count of its shared shingles, counts of its common ones, and its meta."""
+    """Back to each block: owner, code and count of its shared shingles, counts of its common ones, and its meta."""
 
     def count(rows: pa.Table) -> pa.Table:
-        block, counts, digests, low, common, times = (rows[c].to_pylist() for c in ("block", "counts", "digests", "low", "common", "times"))
+        block, counts, low, common, times = (rows[c].to_pylist() for c in ("block", "counts", "low", "common", "times"))
         bucket = np.uint64(rows["bucket"][0].as_py()) << np.uint64(48)
         own = [i for i, c in enumerate(counts) if c is not None]
         out_owner, out_hash, out_df, out_common = ([None] * len(block) for _ in range(4))
         if own:
-            parts, owners, sides = [], [], []
+            parts, owners = [], []
             for i in own:
                 parts.append(from_short(low[i]))
                 has, number = from_planes(counts[i], np.uint32).reshape(2, -1)
                 owners.append(np.repeat(has, number))
-                sides.append(np.repeat(from_short(digests[i]), number))
             hots = {i: (from_short(common[i]), from_planes(times[i], np.uint32)) for i in own if common[i]}
-            hashes, side = np.concatenate(parts), np.concatenate(sides)
-            order = np.lexsort((side, hashes))
-            h, c = hashes[order], side[order]
-            values = np.unique(np.concatenate([h, *(v for v, _ in hots.values())]))
-            total = np.zeros(len(values), np.uint32)
-            new_class = np.ones(len(h), bool)
-            new_class[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            total += np.bincount(np.searchsorted(values, h[new_class]), minlength=len(values)).astype(np.uint32)
+            hashes = np.concatenate(parts)
+            values = np.unique(np.concatenate([hashes, *(v for v, _ in hots.values())]))
+            total = np.bincount(np.searchsorted(values, hashes), minlength=len(values)).astype(np.uint32)
             for v, t in hots.values():
                 total[np.searchsorted(values, v)] += t
             for i, part, owner in zip(own, parts, owners, strict=True):
