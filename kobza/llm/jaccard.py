@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from kobza.llm.components import connected_components, star
 WIDTH, PERCENT = 5, 75
 #: Documents and bytes of a block; a longer document is a block of its own.
 BLOCK_ROWS, BLOCK_BYTES = 2000, 4 << 20
+#: Bytes whose words are hashed together.
+PIECE = 256 << 10
 #: Bytes of text for each bucket of shingles, and bytes of sets for each bucket of partners.
 BUCKET_BYTES, SPOT_BYTES = 4 << 20, 8 << 20
 #: A shingle of more than this share of a block's classes is counted in the block.
@@ -66,20 +69,30 @@ class Shingler:
 
     def grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = 1 << n.bit_length()
             steps = np.full(n, PRIME, np.uint64), np.full(n, pow(PRIME, -1, 1 << 64), np.uint64)
             for s in steps:
                 s[0] = 1
             self.powers, self.inverses = (np.multiply.accumulate(s) for s in steps)
 
     def word_hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and start of every word. data begins and ends with a separator."""
-        self.grow(len(data))
-        word = ~SEPARATOR[data]
-        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-        starts, ends = edge[::2], edge[1::2]
-        sums = np.cumsum(BYTE_VALUES[data] * self.powers[: len(data)], dtype=np.uint64)
-        return mix((sums[ends - 1] - sums[starts - 1]) * self.inverses[starts]), starts
+        """Hash and start of every word. data begins and ends with a separator. It is read in pieces that end at one, as a
+        byte takes some sixty bytes of intermediate numbers; only a longer word is a piece of its own."""
+        hashes, places, at = [], [], 0
+        while at < len(data) - 1:
+            stop = min(at + PIECE, len(data) - 1)
+            while not SEPARATOR[data[stop]]:
+                ahead = np.flatnonzero(SEPARATOR[data[stop : stop + PIECE]])
+                stop = stop + int(ahead[0]) if len(ahead) else min(stop + PIECE, len(data) - 1)
+            piece = data[at : stop + 1]
+            self.grow(len(piece))
+            word = ~SEPARATOR[piece]
+            edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+            starts, ends = edge[::2], edge[1::2]
+            sums = np.cumsum(BYTE_VALUES[piece] * self.powers[: len(piece)], dtype=np.uint64)
+            hashes.append(mix((sums[ends - 1] - sums[starts - 1]) * self.inverses[starts]))
+            places.append(starts + at)
+            at = stop
+        return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *places])
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [(t or "").encode("utf-8", "replace").translate(LOWER) for t in texts]
@@ -124,15 +137,16 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], longest: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, list]]:
+    """Keys and texts of some rows of a batch at a time; only these rows' texts are Python objects."""
     for batch in batches:
-        texts, at, size = batch.column(1).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            if i > at and (i - at == BLOCK_ROWS or size + len(t or "") > longest):
-                yield batch.column(0).slice(at, i - at), texts[at:i]
+        lengths, at, size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist(), 0, 0
+        for i, n in enumerate(lengths):
+            if i > at and (i - at == BLOCK_ROWS or size + n > longest):
+                yield batch.column(0).slice(at, i - at), batch.column(1).slice(at, i - at).to_pylist()
                 at, size = i, 0
-            size += len(t or "")
-        if texts:
-            yield batch.column(0).slice(at), texts[at:]
+            size += n
+        if lengths:
+            yield batch.column(0).slice(at), batch.column(1).slice(at).to_pylist()
 
 
 def codes(hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -279,3 +279,18 @@ def test_repeated_and_null_keys_of_texts(spark):
     rows = [(1, a), (1, b), (2, a), (0, b), (None, a), (5, None), (6, "")]
     found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in found.collect()) == [(False, 0, 2, 0), (False, 1, 2, 0), (False, 1, 2, 1), (False, 2, 2, 1), (False, 5, 0, 5), (False, 6, 0, 6), (True, 0, 2, -1)]
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from kobza.llm import jaccard
+
+    texts = [" a bb\tc\n\ndd e  ", " " + "x" * 100 + " y ", "  ", " one two three four five six seven "]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        monkeypatch.setattr(jaccard, "PIECE", 1 << 20)
+        hashes, starts = jaccard.Shingler().word_hashes(data)
+        assert len(hashes) == len(text.split())
+        for piece in (1, 2, 7, 16):
+            monkeypatch.setattr(jaccard, "PIECE", piece)
+            found = jaccard.Shingler().word_hashes(data)
+            assert found[0].tolist() == hashes.tolist() and found[1].tolist() == starts.tolist()
