@@ -39,7 +39,7 @@ LOW, LOW_PARTS = 2, 16
 #: Folds of the learning documents.
 FOLDS = 4
 END = b"\n"
-BLOCK = 3 << 19  # characters of a block; each has some hundred bytes of intermediate numbers
+BLOCK = 3 << 19  # bytes of a block; each has some hundred bytes of intermediate numbers
 SOURCE = 8 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
 LEVELS = 5  # how often a context was seen: never, once, up to 3, up to 15, more
 BUCKETS = 33  # of the adaptive map, by logit

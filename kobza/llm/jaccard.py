@@ -137,9 +137,9 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], longest: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, list]]:
-    """Keys and texts of some rows of a batch at a time; only these rows' texts are Python objects."""
+    """Keys and texts (strings or bytes) of some rows of a batch at a time; only these rows' texts are Python objects."""
     for batch in batches:
-        lengths, at, size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist(), 0, 0
+        lengths, at, size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 0, 0
         for i, n in enumerate(lengths):
             if i > at and (i - at == BLOCK_ROWS or size + n > longest):
                 yield batch.column(0).slice(at, i - at), batch.column(1).slice(at, i - at).to_pylist()

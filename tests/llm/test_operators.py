@@ -294,3 +294,15 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
             monkeypatch.setattr(jaccard, "PIECE", piece)
             found = jaccard.Shingler().word_hashes(data)
             assert found[0].tolist() == hashes.tolist() and found[1].tolist() == starts.tolist()
+
+
+def test_blocks_of_strings_and_of_bytes():
+    import pyarrow as pa
+
+    from kobza.llm.jaccard import blocks
+
+    texts = ["ab", None, "é" * 3, "", "x" * 20, "c"]
+    for kind, own in ((pa.string(), texts), (pa.binary(), [None if t is None else t.encode() for t in texts])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(own, kind)], names=["key", "text"])
+        found = [(k.to_pylist(), t) for k, t in blocks(iter([batch]), 7)]
+        assert [k for k, _ in found] == [[0, 1], [2, 3], [4], [5]] and [t for _, part in found for t in part] == own
