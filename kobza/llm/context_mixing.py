@@ -41,6 +41,7 @@ FOLDS = 4
 END = b"\n"
 BLOCK = 3 << 19  # bytes of a block; each has some hundred bytes of intermediate numbers
 SOURCE = 8 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
+BUCKET = 16 << 20  # bytes of texts for each bucket of contexts, or more buckets where the session has more partitions
 LEVELS = 5  # how often a context was seen: never, once, up to 3, up to 15, more
 BUCKETS = 33  # of the adaptive map, by logit
 PRIOR = 0.05  # zeros and ones that a context has before any is counted
@@ -457,7 +458,8 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str =
     spark = df.sparkSession
     key_type = df.schema[key].dataType.simpleString()
     rows = df.select(key, text, held_out.alias("held_out"), F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"))
-    buckets = shuffle_width(spark)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(shuffle_width(spark), -(-size // BUCKET))
     read = durable(sources(rows, key, text, buckets))
     grams = read.where("bucket is not null").select("bucket", "source", "grams", "counts")
     low = spark.sparkContext.broadcast(low_counts(grams))

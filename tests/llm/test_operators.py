@@ -306,3 +306,20 @@ def test_blocks_of_strings_and_of_bytes():
         batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(own, kind)], names=["key", "text"])
         found = [(k.to_pylist(), t) for k, t in blocks(iter([batch]), 7)]
         assert [k for k, _ in found] == [[0, 1], [2, 3], [4], [5]] and [t for _, part in found for t in part] == own
+
+
+def test_buckets_of_contexts_grow_with_the_texts(spark, monkeypatch):
+    from kobza.llm import context_mixing
+
+    rows = [(i, f"Some words of text {i} and {i % 7} more") for i in range(60)]
+    dealt = []
+    monkeypatch.setattr(context_mixing, "BUCKET", 100, raising=False)
+    monkeypatch.setattr(context_mixing, "sources", lambda *a, f=context_mixing.sources: dealt.append(a[3]) or f(*a))
+    found = score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()
+    assert dealt == [-(-sum(len(t) for _, t in rows) // 100)]
+    learned = Counter(w for i, t in rows if i % 5 for w in [*t.lower().split(), ""])
+    total = sum(learned.values())
+    for r in found:
+        words = [*rows[r.doc_id][1].lower().split(), ""]
+        assert (r.train_tokens, r.n_known, r.n_tokens) == (total, sum(w in learned for w in words), len(words)) and r.score < 0
+        assert math.isclose(r.base_score, sum(math.log10((learned[w] + 1) / (total + len(learned) + 1)) for w in words))
