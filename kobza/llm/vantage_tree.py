@@ -4,24 +4,25 @@ Vectors are scaled to length one, so that nearness by cosine is nearness by dist
 carries its smallest keys. A tree splits its points at the median distance from a vantage point; a whole block of
 queries walks it together, and a query skips a side when the triangle inequality puts all of that side beyond its present
 radius. The bound is multiplied by a factor: above one sides are skipped sooner and neighbours may be lost, at one the
-search is exact.
+search is exact. Each shard's tree is built once for a lot of query blocks. In vectors without structure (as many
+independent dimensions as these have) no bound skips a leaf at factor one; leaves are then read by products of matrices.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, trimmed
+from kobza.llm.common import durable, trim_memory
 from kobza.llm.vectors import cosines, matrix, unit, usable
 
-#: Points of a shard and queries of a block on average, points of a leaf.
-SHARD, BLOCK, LEAF = 4096, 1024, 64
+#: Points of a shard and queries of a block on average, points of a leaf, blocks that meet a shard together.
+SHARD, BLOCK, LEAF, LOT = 16384, 1024, 512, 512
+#: A larger table has larger shards, up to so many bytes of vectors, as every shard is sent all queries; shards that are enough.
+SHARD_BYTES, SHARDS = 32 << 20, 64
 TIES = 1e-9  # scores nearer than this are compared exactly
 
 
@@ -34,7 +35,7 @@ class VantageTree:
 
     def build(self, own: np.ndarray):
         if len(own) <= LEAF:
-            return own
+            return np.sort(own)
         spot = own[0]
         g = self.points[own[1:]] @ self.points[spot]
         far = own[1:][g.argmin()] if len(own) > 2 else spot  # a point at the rim splits better
@@ -58,12 +59,26 @@ class Search:
         self.walk(tree.root, np.arange(len(queries)))
 
     def offer(self, who: np.ndarray, points: np.ndarray) -> np.ndarray:
-        g = self.queries[who] @ self.tree.points[points].T
-        g[self.skip[who][:, None] == points[None, :]] = -3.0
-        i, j = np.nonzero(g >= np.maximum(self.best[who, 0] - TIES, -2.5)[:, None])
-        self.found.append((who[i], points[j], g[i, j]))
-        both = np.concatenate([self.best[who], g], axis=1)
-        self.best[who] = np.sort(np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :], axis=1)
+        queries = self.queries if len(who) == len(self.queries) else self.queries[who]
+        g = queries @ self.tree.points[points].T
+        if len(points) <= LEAF // 8:
+            g[self.skip[who][:, None] == points[None, :]] = -3.0
+        else:  # points are sorted
+            at = np.minimum(np.searchsorted(points, self.skip[who]), len(points) - 1)
+            own = np.flatnonzero(points[at] == self.skip[who])
+            g[own, at[own]] = -3.0
+        least = self.best[who, 0]
+        if g.shape[1] >= self.k and (least <= -2.0).any():  # at first most of a leaf is nearer than nothing
+            least = np.maximum(least, np.partition(g, g.shape[1] - self.k, axis=1)[:, -self.k])
+        i, j = np.divmod(np.flatnonzero(g >= np.maximum(least - TIES, -2.5)[:, None]), g.shape[1])
+        if len(i):
+            near = g[i, j]
+            self.found.append((who[i], points[j], near))
+            rows, times = np.unique(i, return_counts=True)
+            both = np.full((len(rows), self.k + times.max()), -3.0)
+            both[:, : self.k] = self.best[who[rows]]
+            both[np.repeat(np.arange(len(rows)), times), self.k + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)] = near
+            self.best[who[rows]] = np.sort(np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :], axis=1)
         return g
 
     def walk(self, node, who: np.ndarray) -> None:
@@ -91,6 +106,11 @@ class Search:
         return who[keep], points[keep]
 
 
+def shards_of(points: int, n: int, size: int) -> int:
+    """The number of shards for so many points of n components of so many bytes."""
+    return math.ceil(points / min(max(SHARD, points // SHARDS), max(LEAF, SHARD_BYTES // (n * size))))
+
+
 def packed(rows: DataFrame, group: str, kind: str, id_type: str) -> DataFrame:
     dtype = np.float32 if "float" in kind else np.float64
 
@@ -121,36 +141,43 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, factor: floa
     empty = df.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
     if not sizes:
         return empty
-    parts = F.create_map(*[x for n, (c, _) in sizes.items() for x in (F.lit(n), F.lit(math.ceil(c / SHARD)))])
-    lots = F.create_map(*[x for n, (_, m) in sizes.items() for x in (F.lit(n), F.lit(math.ceil(m / BLOCK)))])
-    shards = packed(classes.withColumn("shard", F.pmod(F.xxhash64("vector"), parts[F.col("n")]).cast("int")).where("shard is not null"), "shard", kind, id_type)
-    asked = packed(queries.withColumn("block", F.pmod(F.xxhash64("ids"), lots[F.col("n")]).cast("int")), "block", kind, id_type)
-    # The stated query set meets every shard, in blocks: a row is a block of queries with a shard.
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), parts[F.col("n")] - 1)))
-    met = met.select("n", "shard", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(shards, ["n", "shard"])
     dtype = np.float32 if "float" in kind else np.float64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                x = np.frombuffer(r["vectors"], dtype).reshape(-1, r["n"]).astype(np.float64)
-                y = np.frombuffer(r["q_vectors"], dtype).reshape(-1, r["n"]).astype(np.float64)
-                q_ids = [i[0] for i in r["q_ids"]]
-                place = {v.tobytes(): i for i, v in enumerate(x)}
-                own = np.array([place.get(v.tobytes(), -1) for v in y], np.int64)
-                who, point = Search(VantageTree(unit(x)), unit(y), k, own, factor).results()
-                has = np.flatnonzero(own >= 0)
-                who, point = np.concatenate([who, has]), np.concatenate([point, own[has]])
-                scores = cosines(y[who], x[point])
-                out: list[list[tuple]] = [[] for _ in q_ids]
-                for w, p, s in zip(who.tolist(), point.tolist(), scores.tolist(), strict=True):
-                    out[w] += [(-s, i) for i in r["ids"][p] if i != q_ids[w]]
-                best = [(q, i, -s) for q, o in zip(q_ids, out, strict=True) for s, i in sorted(o)[:k]]
-                if best:
-                    columns = list(zip(*best, strict=True))
-                    id_arrow = batch.schema.field("q_ids").type.value_type.value_type
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_arrow), pa.array(columns[1], id_arrow), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(trimmed(run), f"query_id {id_type}, vec_id {id_type}, score double")
+    parts = F.create_map(*[x for n, (c, _) in sizes.items() for x in (F.lit(n), F.lit(shards_of(c, n, np.dtype(dtype).itemsize)))])
+    blocks = F.create_map(*[x for n, (_, m) in sizes.items() for x in (F.lit(n), F.lit(math.ceil(m / BLOCK)))])
+    shards = packed(classes.withColumn("shard", F.pmod(F.xxhash64("vector"), parts[F.col("n")]).cast("int")).where("shard is not null"), "shard", kind, id_type)
+    asked = packed(queries.withColumn("block", F.pmod(F.xxhash64("ids"), blocks[F.col("n")]).cast("int")), "block", kind, id_type)
+    # The stated query set meets every shard, in lots of blocks; a lot's blocks walk the one tree of a shard.
+    lots = F.ceil(blocks[F.col("n")] / LOT).cast("int")
+    held = shards.withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1)))
+    sent = asked.withColumn("lot", F.floor(F.col("block") / LOT).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), parts[F.col("n")] - 1)))
+
+    def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], []]
+        if shard.num_rows:
+            n, ids = shard["n"][0].as_py(), shard["ids"][0].as_py()
+            x = np.frombuffer(shard["vectors"][0].as_buffer(), dtype).reshape(-1, n)
+            place = {v.tobytes(): i for i, v in enumerate(x)}
+            x = x.astype(np.float64)
+            tree = VantageTree(unit(x))
+        for b in range(blocks.num_rows if shard.num_rows else 0):
+            y = np.frombuffer(blocks["vectors"][b].as_buffer(), dtype).reshape(-1, n)
+            q_ids = [i[0] for i in blocks["ids"][b].as_py()]
+            own = np.array([place.get(v.tobytes(), -1) for v in y], np.int64)
+            y = y.astype(np.float64)
+            who, point = Search(tree, unit(y), k, own, factor).results()
+            has = np.flatnonzero(own >= 0)
+            who, point = np.concatenate([who, has]), np.concatenate([point, own[has]])
+            out: list[list[tuple]] = [[] for _ in q_ids]
+            for w, p, s in zip(who.tolist(), point.tolist(), cosines(y[who], x[point]).tolist(), strict=True):
+                out[w] += [(-s, i) for i in ids[p] if i != q_ids[w]]
+            for q, o in zip(q_ids, out, strict=True):
+                for s, i in sorted(o)[:k]:
+                    found[0].append(q), found[1].append(i), found[2].append(-s)
+        id_arrow = shard.schema.field("ids").type.value_type.value_type
+        trim_memory()
+        return pa.table([pa.array(c, t) for c, t in zip(found, (id_arrow, id_arrow, pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    on = ["n", "shard", "lot"]
+    found = held.groupBy(*on).cogroup(sent.groupBy(*on)).applyInArrow(run, f"query_id {id_type}, vec_id {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -323,3 +323,30 @@ def test_buckets_of_contexts_grow_with_the_texts(spark, monkeypatch):
         words = [*rows[r.doc_id][1].lower().split(), ""]
         assert (r.train_tokens, r.n_known, r.n_tokens) == (total, sum(w in learned for w in words), len(words)) and r.score < 0
         assert math.isclose(r.base_score, sum(math.log10((learned[w] + 1) / (total + len(learned) + 1)) for w in words))
+
+
+def test_a_shard_is_sent_once_and_its_tree_built_once(spark, monkeypatch):
+    from kobza.llm import vantage_tree
+
+    for name, value in {"SHARD": 100, "BLOCK": 10, "LEAF": 16, "SHARDS": 1000}.items():
+        monkeypatch.setattr(vantage_tree, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    x[:60] = x[0] + rng.normal(size=(60, 6)) * 0.01
+    built = spark.sparkContext.accumulator(0)
+
+    class Counted(vantage_tree.VantageTree):
+        def __init__(self, points):
+            built.add(1)
+            super().__init__(points)
+
+    monkeypatch.setattr(vantage_tree, "VantageTree", Counted)
+    found = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in vantage_tree.nearest_neighbours(df, F.col("vec_id") % 4 == 0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    g = u @ u.T
+    np.fill_diagonal(g, -3)
+    assert found == {q: np.argsort(-g[q], kind="stable")[:5].tolist() for q in range(0, 400, 4)}
+    assert built.value == 4  # shards of 100 points, which ten blocks of queries meet
