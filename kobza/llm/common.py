@@ -50,8 +50,9 @@ def clear(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """A hint to collect the driver's garbage: Spark deletes shuffle files when nothing refers to them any more."""
-    gc.collect()
+    """A hint to collect the driver's garbage: Spark deletes shuffle files when nothing refers to them any more. Often
+    enough called, it also keeps the heap small; what Python has freed goes back to the system."""
+    trim_memory()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable
+from kobza.llm.common import durable, release
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,4 +32,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         now = durable(star(star(now, True), False))
+        release(edges.sparkSession)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import map_arrow, sample_keys, trimmed
+from kobza.llm.common import map_arrow, release, sample_keys, trimmed
 
 #: Bounds of the sample that the chain is fitted on; length of the mark list; folds.
 TOXIC, CLEAN, MARKS, FOLDS = 3000, 6000, 256, 5
@@ -172,6 +172,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, te
     table, every probability is 0.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, held_out, text, key, label, quality))
+    release(documents.sparkSession)  # the sample's words are no longer needed
     keep = [c for c in keep or [] if c != key]
     kept = [key, *keep]
 

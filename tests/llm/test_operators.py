@@ -350,3 +350,17 @@ def test_a_shard_is_sent_once_and_its_tree_built_once(spark, monkeypatch):
     np.fill_diagonal(g, -3)
     assert found == {q: np.argsort(-g[q], kind="stable")[:5].tolist() for q in range(0, 400, 4)}
     assert built.value == 4  # shards of 100 points, which ten blocks of queries meet
+
+
+def test_driver_collects_its_garbage_between_rounds(spark, monkeypatch):
+    from kobza.llm import components, toxicity
+
+    calls = []
+    for module in (components, toxicity):
+        monkeypatch.setattr(module, "release", lambda session: calls.append(session), raising=False)
+    found = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    assert {(r.id, r.component) for r in found.collect()} == {(i, 0) for i in range(10)} and len(calls) >= 2
+    docs = spark.createDataFrame([(i, "foul word" if i % 2 else "fine word") for i in range(40)], "doc_id long, text string")
+    before = len(calls)
+    score_toxicity(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int"), F.lit(False)).collect()
+    assert len(calls) > before
