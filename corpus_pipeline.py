@@ -7,11 +7,13 @@ names; rows of one doc_id are rows of their own unless said otherwise; an empty
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kobza.llm.common import clear, shared_folder, table, tokenizer_path
+from kobza.llm.common import clear, shared_folder, shrink_executors, table, tokenizer_path
 from kobza.llm.jaccard import jaccard_components
 from kobza.llm.langid import UNKNOWN, identify_languages
 from kobza.llm.packing import pack_documents
@@ -83,7 +85,19 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def lean(stage: Callable) -> Callable:
+    """The stage, begun with executors that have given back what the stage before has left in their heaps."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("language_id", language_id), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
+STAGES = [(name, lean(stage)) for name, stage in STAGES]
 #: No SQL expresses the learned stages.
 ORACLE_SQL = None
 

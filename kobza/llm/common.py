@@ -56,6 +56,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """A hint to the executors to collect their garbage: a heap that has grown gives back what it doesn't need. One short task
+    an executor, which idle executors get one each; a local session has none but the driver."""
+    sc = spark.sparkContext._jsc.sc()
+    if not sc.isLocal():
+        n = max(1, sc.getExecutorMemoryStatus().size() - 1)
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def trim_memory() -> None:
     """Gives freed memory of a Python worker back to the system; workers live on after their tasks."""
     gc.collect()

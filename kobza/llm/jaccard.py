@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, release, semi_join, shuffle_width, trimmed
+from kobza.llm.common import durable, release, semi_join, shrink_executors, shuffle_width, trimmed
 from kobza.llm.components import connected_components, star
 
 WIDTH, PERCENT = 5, 75
@@ -350,6 +350,7 @@ def links(sets: DataFrame) -> DataFrame:
     edges = verified(first, sets, spots).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     stars = durable(star(star(edges, True), False))
     release(sets.sparkSession)
+    shrink_executors(sets.sparkSession)
     lists, limit, turn = lists.where("members > 2").select("f", "g", "n", "room"), LIMIT, 1
     while True:
         labels = stars.groupBy(F.col("u").alias("b")).agg(F.min("v").alias("c"))
@@ -377,6 +378,7 @@ def links(sets: DataFrame) -> DataFrame:
             break
         limit, turn = limit * LIMIT, turn + 1
         release(sets.sparkSession)
+        shrink_executors(sets.sparkSession)
     return connected_components(stars.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
@@ -392,6 +394,7 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id") -
     """
     profile = durable(profiles(df.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "_id", "_text"))
     release(df.sparkSession)
+    shrink_executors(df.sparkSession)
     classes = profile.where("n > 0 and _id is not null").groupBy("n", "h1", "h2").agg(F.min("_id").alias("id"), F.first("shared", True).alias("shared"), F.first("tokens", True).alias("tokens"), F.first("g", True).alias("g"))
     # A key whose rows differ is several vertices, which hashes stand for; else the key is the vertex.
     classes = durable(classes)
