@@ -40,9 +40,8 @@ LOW, LOW_PARTS = 2, 16
 FOLDS = 4
 END = b"\n"
 BLOCK = 3 << 19  # bytes of a block; each has some hundred bytes of intermediate numbers
-SOURCE = 8 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
+SOURCE = 16 << 20  # bytes of texts whose sequences are sent, and whose costs come back, together
 BUCKET = 16 << 20  # bytes of texts for each bucket of contexts, or more buckets where the session has more partitions
-LEVELS = 5  # how often a context was seen: never, once, up to 3, up to 15, more
 BUCKETS = 33  # of the adaptive map, by logit
 PRIOR = 0.05  # zeros and ones that a context has before any is counted
 START, RATE, HITS = 0.3, 0.03, 30  # weights at the start, step of learning, and bits that the start counts as
@@ -82,9 +81,10 @@ def unpack(data: bytes, kind: type = bytes):
     return raw if kind is bytes else from_planes(raw, kind)
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their counts (one row each) added up, and each key's place among them."""
-    order = np.argsort(keys)
+def merged(keys: np.ndarray, counts: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their counts (one row each) added up, and each key's place among them. runs: the keys are a few
+    sorted runs, which are merged."""
+    order = np.argsort(keys, kind="stable" if runs else None)
     first = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(first) - 1
@@ -92,27 +92,38 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[order[starts]], np.add.reduceat(counts[order], starts, axis=0) if len(keys) else counts, at
 
 
+def dealt(swapped: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a source's distinct grams (last byte first, sorted) are sent, and their buckets in this order."""
+    bucket = (mix(context_of(swapped.byteswap(), 3)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order].astype(np.int64)
+
+
 def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """Per source (some documents of a task): their texts, and by bucket of the last three context bytes the distinct grams,
-    with counts by fold of learning documents."""
+    with counts by fold of learning documents. Grams are sent last byte first, sorted: so they compress best."""
 
     def counted(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = [], []
-        for fold, found, number in waiting:
-            keys.append(found)
-            counts.append(np.zeros((len(found), FOLDS), np.int64))
+        by_fold = [np.unique(np.concatenate([g for f, g in waiting if f == fold]), return_counts=True) for fold in sorted({f for f, _ in waiting})]
+        keys = np.concatenate([k for k, _ in by_fold])
+        order = np.argsort(keys, kind="stable")  # merges the folds' runs
+        first = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.cumsum(first) - 1
+        counts, done = np.zeros((FOLDS, int(first.sum())), np.uint32), 0
+        for fold, (k, n) in zip(sorted({f for f, _ in waiting}), by_fold, strict=True):
             if fold < FOLDS:
-                counts[-1][:, fold] = number
-        return merged(np.concatenate(keys), np.concatenate(counts))[:2]
+                counts[fold, at[done : done + len(k)]] = n
+            done += len(k)
+        return keys[order[first]], counts
 
     def packed(source: int, waiting: list[tuple]) -> Iterator[tuple]:
         keys, counts = counted(waiting)
-        bucket = (mix(context_of(keys, 3)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint32)
+        order, bucket = dealt(keys, buckets)
+        keys, counts = keys[order], counts[:, order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            yield source, int(bucket[a]), pack(keys[a:b]), pack(counts[a:b].ravel()), None, None, None
+            yield source, int(bucket[a]), pack(keys[a:b]), pack(counts[:, a:b].ravel()), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, waiting, size, kind = TaskContext.get().partitionId() << 32, [], 0, None
@@ -132,7 +143,7 @@ def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 fold = np.where(held.astype(bool), FOLDS, fold)
                 for f in np.unique(fold):
                     own = [parts[i] for i in np.flatnonzero(fold == f)]
-                    waiting.append((int(f), *np.unique(grams_of(own)[0], return_counts=True)))
+                    waiting.append((int(f), grams_of(own)[0].byteswap()))
                 size += sum(map(len, parts)) + len(parts)
                 if size > SOURCE:
                     for row in packed(source, waiting):
@@ -147,7 +158,7 @@ def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
 
 def counts_of(data: bytes) -> np.ndarray:
-    return unpack(data, np.uint32).reshape(-1, FOLDS).astype(np.int64)
+    return unpack(data, np.uint32).reshape(FOLDS, -1).T.astype(np.int64)
 
 
 def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +168,7 @@ def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = np.zeros(0, np.uint64), np.zeros((0, FOLDS), np.int64)
         for batch in batches:
             for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, number, _ = merged(unpack(g, np.uint64) & mask(LOW), counts_of(c))
+                own, number, _ = merged(unpack(g, np.uint64).byteswap() & mask(LOW), counts_of(c))
                 keys, counts, _ = merged(np.concatenate([keys, own]), np.concatenate([counts, number]))
         where = mix(keys) % np.uint64(LOW_PARTS)
         rows = [(k, planes(keys[own]), counts[own].tobytes()) for k in range(LOW_PARTS) if (own := where == k).any()]
@@ -194,46 +205,61 @@ class Counts:
                 used = np.isin(context, np.unique(own >> np.uint64(8)))
                 distinct, total = every[used], total[used]
                 self.at[k] = np.searchsorted(distinct, own)
-            self.grams[k] = distinct, total
+            self.at[k] = self.at[k].astype(np.int32)
+            self.grams[k] = distinct, np.ascontiguousarray(total.T)
 
     def bits(self, d: int) -> np.ndarray:
         return ((self.keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.float64)
 
-    def seen(self, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones of bit d in each context of order k with the byte's bits before, by fold."""
+    def runs(self, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each gram's context of order k with the byte's bits before bit d; by fold the zeros and ones of bit d there."""
         keys, total = self.grams[k]
         before = keys >> np.uint64(8 - d)
         first = np.concatenate([[True], before[1:] != before[:-1]])
-        run, starts = np.cumsum(first) - 1, np.flatnonzero(first)
-        bit = ((keys >> np.uint64(7 - d)) & np.uint64(1)).astype(np.int64)
-        ones = np.add.reduceat(total * bit[:, None], starts, axis=0)
-        return (np.add.reduceat(total, starts, axis=0) - ones)[run], ones[run]
+        starts = np.flatnonzero(first)
+        bit = (keys >> np.uint64(7 - d)) & np.uint64(1) > 0
+        ones = np.add.reduceat(np.where(bit, total, 0), starts, axis=1)
+        return np.cumsum(first, dtype=np.int32) - np.int32(1), np.add.reduceat(total, starts, axis=1) - ones, ones
 
-    def tables(self, d: int, fold: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per order: logits and levels of bit d in the distinct grams of that order, without a fold if one is given."""
+    def seen(self, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones of bit d in each context of order k with the byte's bits before, by fold."""
+        run, zeros, ones = self.runs(k, d)
+        return zeros.T[run], ones.T[run]
+
+    def contexts(self, d: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per order: every gram's context with the bits before d, and by fold the zeros and ones there."""
         out = []
         for k in ORDERS:
-            zeros, ones = (c.sum(1) - (0 if fold is None else c[:, fold]) for c in self.seen(k, d))
-            out.append((np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -11.7, 11.7), np.digitize(zeros + ones, [1, 2, 4, 16])))
+            run, zeros, ones = self.runs(k, d)
+            out.append((run[self.at[k]], zeros, ones))
         return out
 
-    def inputs(self, rows: np.ndarray, tables: list, d: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Logits of all orders with a constant, and the weight row of each set, for bit d of the grams."""
-        x, gate = np.empty((len(rows), len(ORDERS) + 1)), np.zeros(len(rows), np.int64)
+    def tables(self, contexts: list, fold: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per order: logits and gates of the contexts, without a fold if one is given."""
+        out = []
+        for i, (_, *both) in enumerate(contexts):
+            zeros, ones = (c.sum(0) - (0 if fold is None else c[fold]) for c in both)
+            logits = np.log((ones + PRIOR) / (zeros + PRIOR)).astype(np.float32)
+            out.append((np.clip(logits, -11.7, 11.7), np.array([0, 2 * i + 1, 2 * i + 2], np.int8)[(zeros + ones > 0).astype(np.int8) + (zeros + ones > 3)]))
+        return out
+
+    def inputs(self, rows: np.ndarray, contexts: list, tables: list) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all orders with a constant, and the gate of the highest order seen, of the grams."""
+        x, gate = np.empty((len(rows), len(ORDERS) + 1), np.float32), np.zeros(len(rows), np.int8)
         x[:, -1] = 0.3
-        for i, (k, (logits, levels)) in enumerate(zip(ORDERS, tables, strict=True)):
-            at = self.at[k][rows]
-            x[:, i], level = logits[at], levels[at]
-            gate = np.where(level >= LEVELS - 2, 2 * i + 2, np.where(level > 0, 2 * i + 1, gate))
-        return x, [d * SETS[0] + gate, self.last[rows] * 8 + d]
+        for i, ((at, *_), (logits, gates)) in enumerate(zip(contexts, tables, strict=True)):
+            own = at[rows]
+            x[:, i] = logits[own]
+            np.maximum(gate, gates[own], out=gate)
+        return x, gate
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, v, n) for v in values.T], axis=1)
+def added(at: np.ndarray, values: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, values * c, n) for c in columns], axis=1)
 
 
 class Mixer:
@@ -243,8 +269,14 @@ class Mixer:
         self.weights = [np.full((8 * sets, len(ORDERS) + 1), START) for sets in SETS]
         self.map = MAP
 
-    def sums(self, x: np.ndarray, gates: list[np.ndarray]) -> list[np.ndarray]:
-        return [np.clip(np.einsum("ij,ij->i", x, w[g]), -11, 11) for w, g in zip(self.weights, gates, strict=True)]
+    @staticmethod
+    def of_bit(sets: list[np.ndarray], d: int) -> list[np.ndarray]:
+        """The rows that bit d chooses from, of each weight set or what belongs to it."""
+        return [sets[0][d * SETS[0] : (d + 1) * SETS[0]], sets[1][d::8]]
+
+    @staticmethod
+    def sums(x: np.ndarray, weights: list[np.ndarray], gates: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.clip(np.einsum("ij,ij->i", x, np.take(w, g, axis=0)), -11, 11) for w, g in zip(weights, gates, strict=True)]
 
     @staticmethod
     def place(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,13 +287,15 @@ class Mixer:
         """log10 probabilities of the grams' last bytes."""
         out = np.zeros(len(counts.keys))
         for d in range(8):
-            tables, bit = counts.tables(d), counts.bits(d)
-            for a in range(0, len(out), 65536):
-                rows = np.arange(a, min(a + 65536, len(out)))
-                sums = self.sums(*counts.inputs(rows, tables, d))
+            contexts, bit = counts.contexts(d), counts.bits(d)
+            tables, weights = counts.tables(contexts), self.of_bit(self.weights, d)
+            for a in range(0, len(out), 8192):
+                rows = slice(a, min(a + 8192, len(out)))
+                last = counts.last[rows]
+                x, gate = counts.inputs(np.arange(rows.start, rows.stop), contexts, tables)
+                sums = self.sums(x.astype(np.float64), weights, [gate, last])
                 logit = (sums[0] + sums[1]) / 2
                 low, part = self.place(logit)
-                last = counts.last[rows]
                 refined = self.map[last, low] * (1 - part) + self.map[last, low + 1] * part
                 p = np.clip((squash(logit) + refined) / 2, 1e-6, 1 - 1e-6)
                 out[rows] += np.log10(np.where(bit[rows] > 0, p, 1 - p))
@@ -275,25 +309,32 @@ class Mixer:
         hits, ones = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
         rng = np.random.default_rng(len(counts.keys))
         for d in range(8):
-            bit = counts.bits(d)
+            bit, contexts = counts.bits(d), counts.contexts(d)
+            views = [self.of_bit(x, d) for x in (self.weights, squares, chosen)]
             for fold in rng.permutation(FOLDS):
-                rows = rng.permutation(np.flatnonzero(counts.counts[:, fold]))
-                tables = counts.tables(d, fold) if len(rows) else None
+                rows = np.flatnonzero(counts.counts[:, fold])
+                if not len(rows):
+                    continue
+                inputs, gate = counts.inputs(rows, contexts, counts.tables(contexts, fold))
+                last, times, b = (x[rows] for x in (counts.last, counts.counts[:, fold].astype(np.float64), bit))
+                gates, near = [gate, last], np.empty(len(rows), np.int64)
+                for n, g in zip(views[2], gates, strict=True):
+                    n += np.bincount(g, times, len(n))
+                turn = rng.permutation(len(rows))
                 size = min(8192, max(128, len(rows) // 64))
                 for a in range(0, len(rows), size):
-                    own = rows[a : a + size]
-                    x, gates = counts.inputs(own, tables, d)
-                    times, b = counts.counts[own, fold].astype(np.float64), bit[own]
-                    sums = self.sums(x, gates)
+                    at = np.sort(turn[a : a + size])
+                    x, (t, o) = np.take(inputs, at, axis=0).astype(np.float64), (np.take(v, at) for v in (times, b))
+                    own = [np.take(g, at) for g in gates]
+                    sums, columns = self.sums(x, views[0], own), np.ascontiguousarray(x.T)
                     low, part = self.place((sums[0] + sums[1]) / 2)
-                    near = counts.last[own] * BUCKETS + low + (part > 0.5)
-                    hits += np.bincount(near, times, len(hits))
-                    ones += np.bincount(near, times * b, len(ones))
-                    for w, g, s, q, n in zip(self.weights, gates, sums, squares, chosen, strict=True):
-                        step = added(g, (times * (b - squash(s)))[:, None] * x, len(w))
+                    near[at] = own[1] * BUCKETS + low + (part > 0.5)
+                    for w, q, g, s in zip(*views[:2], own, sums, strict=True):
+                        step = added(g, t * (o - squash(s)), columns, len(w))
                         q += step * step
                         w += RATE * step / np.sqrt(q)
-                        n += np.bincount(g, times, len(n))
+                hits += np.bincount(near, times, len(hits))
+                ones += np.bincount(near, times * b, len(ones))
         return [*(x for w, n in zip(self.weights, chosen, strict=True) for x in (n, w * n[:, None])), hits, ones]
 
     def average(self, found: list[np.ndarray]) -> None:
@@ -308,8 +349,12 @@ class Mixer:
 def counts_in(rows: pa.Table, low: tuple[np.ndarray, np.ndarray]) -> tuple[Counts, np.ndarray, np.ndarray]:
     """Counts of a bucket's rows; the places of each row's grams in them, and where each row's begin."""
     grams = [unpack(x, np.uint64) for x in rows["grams"].to_pylist()]
-    keys, counts, at = merged(np.concatenate(grams), np.concatenate([counts_of(x) for x in rows["counts"].to_pylist()]))
-    return Counts(low, keys, counts), at, np.cumsum([0, *map(len, grams)])
+    swapped, counts, at = merged(np.concatenate(grams), np.concatenate([counts_of(x) for x in rows["counts"].to_pylist()]), True)
+    keys = swapped.byteswap()
+    order = np.argsort(keys)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Counts(low, keys[order], counts[order]), place[at], np.cumsum([0, *map(len, grams)])
 
 
 def fit_mixer(grams: DataFrame, low, buckets: int) -> Mixer:
@@ -335,36 +380,36 @@ def fit_mixer(grams: DataFrame, low, buckets: int) -> Mixer:
 
 
 def gram_costs(grams: DataFrame, low, mixer) -> DataFrame:
-    """Per source and bucket: the grams and the cost of each."""
+    """Per source and bucket: the cost of each gram, in the order in which they were sent."""
 
     def run(rows: pa.Table) -> pa.Table:
         counts, at, starts = counts_in(rows, low.value)
         costs = mixer.value.costs(counts).astype(np.float32)
         found = [pack(costs[at[a:b]]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        return pa.table([rows["source"].combine_chunks(), rows["grams"].combine_chunks(), pa.array(found, pa.binary())], names=["source", "grams", "costs"])
+        return pa.table([rows["source"].combine_chunks(), rows["bucket"].combine_chunks(), pa.array(found, pa.binary())], names=["source", "bucket", "costs"])
 
-    return grams.groupBy("bucket").applyInArrow(run, "source long, grams binary, costs binary")
+    return grams.groupBy("bucket").applyInArrow(run, "source long, bucket int, costs binary")
 
 
-def text_scores(read: DataFrame, costs: DataFrame, key: str, key_type: str) -> DataFrame:
+def text_scores(read: DataFrame, costs: DataFrame, key: str, key_type: str, buckets: int) -> DataFrame:
     """Per document: key, words joined by spaces, held_out, score. Each source's texts meet the costs of their grams."""
 
     def run(rows: pa.Table) -> pa.Table:
-        columns = {c: rows[c].to_pylist() for c in ("texts", "keys", "held", "grams", "costs")}
-        own = [i for i, g in enumerate(columns["grams"]) if g is not None]
-        keys = np.concatenate([unpack(columns["grams"][i], np.uint64) for i in own])
-        cost = np.concatenate([unpack(columns["costs"][i], np.float32) for i in own]).astype(np.float64)
-        order = np.argsort(keys)
-        keys, cost = keys[order], cost[order]
+        columns = {c: rows[c].to_pylist() for c in ("texts", "keys", "held", "bucket", "costs")}
+        parts_of = [None if t is None else unpack(t).split(END) for t in columns["texts"]]
+        keys = np.unique(np.concatenate([np.unique(grams_of(parts)[0].byteswap()) for parts in parts_of if parts is not None]))
+        sent = sorted((b, i) for i, b in enumerate(columns["bucket"]) if b is not None)
+        cost = np.empty(len(keys))
+        cost[dealt(keys, buckets)[0]] = np.concatenate([unpack(columns["costs"][i], np.float32) for _, i in sent])
         shift = np.uint64(64 - min(24, 2 + len(keys).bit_length()))
         place = (mix(keys) >> shift).astype(np.int64)
         slots = np.zeros(1 << (64 - int(shift)), np.int64)  # the place of a gram that has this hash; the others are searched
         slots[place] = np.arange(len(keys))
         out = [], [], [], []
-        for texts, ids, held in zip(columns["texts"], columns["keys"], columns["held"], strict=True):
-            if texts is not None:
-                parts = unpack(texts).split(END)
+        for parts, ids, held in zip(parts_of, columns["keys"], columns["held"], strict=True):
+            if parts is not None:
                 grams, starts = grams_of(parts)
+                grams = grams.byteswap()
                 at = slots[(mix(grams) >> shift).astype(np.int64)]
                 lost = np.flatnonzero(keys[at] != grams)
                 at[lost] = np.searchsorted(keys, grams[lost])
@@ -372,8 +417,8 @@ def text_scores(read: DataFrame, costs: DataFrame, key: str, key_type: str) -> D
                     o.extend(x)
         return pa.table([pa.array(o, t) for o, t in zip(out, (rows["keys"].type.value_type, pa.binary(), pa.bool_(), pa.float64()), strict=True)], names=[key, "words", "held_out", "score"])
 
-    texts = read.where("bucket is null").select("source", "texts", "keys", "held", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("costs"))
-    sent = costs.select("source", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast(f"array<{key_type}>").alias("keys"), F.lit(None).cast("array<boolean>").alias("held"), "grams", "costs")
+    texts = read.where("bucket is null").select("source", "texts", "keys", "held", "bucket", F.lit(None).cast("binary").alias("costs"))
+    sent = costs.select("source", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast(f"array<{key_type}>").alias("keys"), F.lit(None).cast("array<boolean>").alias("held"), "bucket", "costs")
     return texts.unionByName(sent).groupBy("source").applyInArrow(run, f"{key} {key_type}, words binary, held_out boolean, score double")
 
 
@@ -466,7 +511,7 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str =
     release(spark)
     mixer = spark.sparkContext.broadcast(fit_mixer(grams, low, buckets))
     bits = max(3, min(30, (buckets - 1).bit_length()))
-    sums = durable(block_sums(scored_blocks(text_scores(read, gram_costs(grams, low, mixer), key, key_type), key, bits), key_type))
+    sums = durable(block_sums(scored_blocks(text_scores(read, gram_costs(grams, low, mixer), key, key_type, buckets), key, bits), key_type))
     release(spark)
     learned = "aggregate(zip_with(n, held, (x, h) -> if(h, 0L, x)), 0L, (a, x) -> a + x)"
     number, tokens, documents = sums.agg(F.sum("distinct"), F.sum(F.expr(learned)), F.sum(F.expr("cast(coalesce(size(filter(held, h -> not h)), 0) as long)"))).first()

@@ -3,8 +3,9 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from kobza.llm.context_mixing import DEPTH, FOLDS, ORDERS, START, Counts, Mixer, grams_of, mask, merged
+from kobza.llm.context_mixing import DEPTH, FOLDS, ORDERS, START, Counts, Mixer, canonical, gram_costs, grams_of, low_counts, mask, merged, sources, text_scores
 
 
 def counts_by_fold(keys: np.ndarray, folds: np.ndarray) -> Counts:
@@ -50,3 +51,22 @@ def test_contexts_of_seven_bytes():
     mixer = Mixer()
     mixer.average(mixer.learn(counts))
     assert len(counts.keys) == 2 and (mixer.costs(counts) > np.log10(0.7)).all()
+
+
+def test_grams_are_not_sent_back_with_their_costs(spark):
+    texts = ["Слово за словом", "a word and a word", "", None, "x" * 40] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.expr("doc_id % 5 = 1")).withColumn("fold", F.expr(f"cast(doc_id % {FOLDS} as int)"))
+    read = sources(df.repartition(3), "doc_id", "text", 4).localCheckpoint()
+    grams = read.where("bucket is not null").select("bucket", "source", "grams", "counts")
+    mixer, low = Mixer(), low_counts(grams)
+    sent = gram_costs(grams, spark.sparkContext.broadcast(low), spark.sparkContext.broadcast(mixer))
+    assert sorted(sent.columns) == ["bucket", "costs", "source"]
+    found = {r.doc_id: r.score for r in text_scores(read, sent, "doc_id", "bigint", 4).collect()}
+    keys = [grams_of([b" ".join(canonical(t))])[0] for t in texts]
+    counts = counts_by_fold(np.concatenate(keys), np.repeat(np.arange(len(texts)) % FOLDS, [len(k) for k in keys]))
+    held = np.repeat(np.arange(len(texts)) % 5 == 1, [len(k) for k in keys])
+    learned = counts_by_fold(np.concatenate(keys)[~held], np.repeat(np.arange(len(texts)) % FOLDS, [len(k) for k in keys])[~held])
+    own = np.zeros_like(counts.counts)
+    own[np.searchsorted(counts.keys, learned.keys)] = learned.counts
+    costs = mixer.costs(Counts(low, counts.keys, own))
+    assert all(abs(found[i] - costs[np.searchsorted(counts.keys, k)].sum()) < 1e-4 for i, k in enumerate(keys))
