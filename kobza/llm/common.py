@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,6 +45,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def durable_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """The frame's rows, written once, dealt out by a column and sorted by it: grouping by the column then needs no shuffle.
+    Only a plan that is not adaptive tells how its rows are dealt."""
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return durable(df.repartition(partitions, column).sortWithinPartitions(column))
+    finally:
+        spark.conf.set(name, before)
+
+
 def clear(spark: SparkSession, path: str) -> None:
     """Replaces a table that is no longer needed by an empty one, in whatever store it is."""
     spark.createDataFrame([], "nothing boolean").write.mode("overwrite").parquet(path)
@@ -56,6 +69,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has shuffle files deleted that nothing refers to any more. Py4J tells the JVM of dropped frames once a second, and the
+    scheduler refers to the last job until the next one, so release alone comes too early for them."""
+    gc.collect()
+    time.sleep(1.5)
+    spark.range(1).collect()
+    release(spark)
+
+
 def shrink_executors(spark: SparkSession) -> None:
     """A hint to the executors to collect their garbage: a heap that has grown gives back what it doesn't need. One short task
     an executor, which idle executors get one each; a local session has none but the driver."""

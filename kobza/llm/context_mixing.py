@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import durable, release, shuffle_width, trimmed
+from kobza.llm.common import durable, durable_by, free_shuffles, shuffle_width, trimmed
 from kobza.llm.jaccard import LOWER, Shingler, blocks, from_planes, mix, planes
 
 ORDERS = [1, 2, 3, 4, 5, 7]
 DEPTH = max(ORDERS)
-#: Orders up to this one have their counts broadcast; parts in which they are added up.
-LOW, LOW_PARTS = 2, 16
+#: Orders up to this one have their counts broadcast; parts in which they are added up, and grams of a task that wait for it.
+LOW, LOW_PARTS, LOW_WAITING = 2, 16, 1 << 20
 #: Folds of the learning documents.
 FOLDS = 4
 END = b"\n"
@@ -45,6 +45,7 @@ BUCKET = 16 << 20  # bytes of texts for each bucket of contexts, or more buckets
 BUCKETS = 33  # of the adaptive map, by logit
 PRIOR = 0.05  # zeros and ones that a context has before any is counted
 START, RATE, HITS = 0.3, 0.03, 30  # weights at the start, step of learning, and bits that the start counts as
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # times a number: its hash is in the first bits
 SETS = [len(ORDERS) * 2 + 1, 256]
 MAP = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS))), (256, 1))
 
@@ -53,6 +54,11 @@ def canonical(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
 
+def n_tokens(parts: list[bytes]) -> np.ndarray:
+    """Words and the end of each text."""
+    return np.array([p.count(b" ") + 2 if p else 1 for p in parts], np.int64)
+
+
 def context_of(keys: np.ndarray, order: int) -> np.ndarray:
     return (keys >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
 
@@ -81,10 +87,15 @@ def unpack(data: bytes, kind: type = bytes):
     return raw if kind is bytes else from_planes(raw, kind)
 
 
-def merged(keys: np.ndarray, counts: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their counts (one row each) added up, and each key's place among them. runs: the keys are a few
-    sorted runs, which are merged."""
-    order = np.argsort(keys, kind="stable" if runs else None)
+def uniques(x: np.ndarray) -> np.ndarray:
+    """As np.unique, which takes far longer for numbers without order."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their counts (one row each) added up, and each key's place among them."""
+    order = np.argsort(keys)
     first = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(first) - 1
@@ -100,22 +111,18 @@ def dealt(swapped: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """Per source (some documents of a task): their texts, and by bucket of the last three context bytes the distinct grams,
-    with counts by fold of learning documents. Grams are sent last byte first, sorted: so they compress best."""
+    """Per source (some documents of a task): their texts in blocks, with the learning documents and their tokens, and by bucket
+    of the last three context bytes the distinct grams, with counts by fold of learning documents. Grams are sent last byte
+    first, sorted: so they compress best. home: a bucket for grams and a source for texts, by which they are needed together."""
 
     def counted(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        by_fold = [np.unique(np.concatenate([g for f, g in waiting if f == fold]), return_counts=True) for fold in sorted({f for f, _ in waiting})]
-        keys = np.concatenate([k for k, _ in by_fold])
-        order = np.argsort(keys, kind="stable")  # merges the folds' runs
-        first = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
-        at = np.empty(len(keys), np.int64)
-        at[order] = np.cumsum(first) - 1
-        counts, done = np.zeros((FOLDS, int(first.sum())), np.uint32), 0
-        for fold, (k, n) in zip(sorted({f for f, _ in waiting}), by_fold, strict=True):
+        by_fold = [(fold, *np.unique(np.concatenate([g for f, g in waiting if f == fold]), return_counts=True)) for fold in sorted({f for f, _ in waiting})]
+        keys = uniques(np.concatenate([k for _, k, _ in by_fold]))
+        counts = np.zeros((FOLDS, len(keys)), np.uint32)
+        for fold, k, n in by_fold:
             if fold < FOLDS:
-                counts[fold, at[done : done + len(k)]] = n
-            done += len(k)
-        return keys[order[first]], counts
+                counts[fold, np.searchsorted(keys, k)] = n
+        return keys, counts
 
     def packed(source: int, waiting: list[tuple]) -> Iterator[tuple]:
         keys, counts = counted(waiting)
@@ -123,15 +130,16 @@ def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         keys, counts = keys[order], counts[:, order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            yield source, int(bucket[a]), pack(keys[a:b]), pack(counts[:, a:b].ravel()), None, None, None
+            yield int(bucket[a]), source, int(bucket[a]), pack(keys[a:b]), pack(counts[:, a:b].ravel()), *[None] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, waiting, size, kind = TaskContext.get().partitionId() << 32, [], 0, None
+        block = source
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True)
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.list_(kind), pa.list_(pa.bool_())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["source", "bucket", "grams", "counts", "texts", "keys", "held"])
+            types = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.list_(kind), pa.list_(pa.bool_()), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["home", "source", "bucket", "grams", "counts", "texts", "keys", "held", "block", "tokens", "documents"])
 
         for batch in batches:
             at, kind = 0, batch.schema.field(0).type
@@ -139,8 +147,10 @@ def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 parts = [b" ".join(canonical(t)) for t in texts]
                 held, fold = (batch.column(i).slice(at, len(keys)).to_numpy(zero_copy_only=False) for i in (2, 3))
                 at += len(keys)
-                yield batch_of([(source, None, None, None, pack(END.join(parts)), keys.to_pylist(), held.tolist())])
-                fold = np.where(held.astype(bool), FOLDS, fold)
+                learning = ~held.astype(bool)
+                yield batch_of([(source, source, None, None, None, pack(END.join(parts)), keys.to_pylist(), held.tolist(), block, int(n_tokens(parts)[learning].sum()), int(learning.sum()))])
+                block += 1
+                fold = np.where(learning, fold, FOLDS)
                 for f in np.unique(fold):
                     own = [parts[i] for i in np.flatnonzero(fold == f)]
                     waiting.append((int(f), grams_of(own)[0].byteswap()))
@@ -154,7 +164,7 @@ def sources(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 yield batch_of([row])
 
     key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, text, "held_out", "fold").mapInArrow(trimmed(run), f"source long, bucket int, grams binary, counts binary, texts binary, keys array<{key_type}>, held array<boolean>")
+    return df.select(key, text, "held_out", "fold").mapInArrow(trimmed(run), f"home long, source long, bucket int, grams binary, counts binary, texts binary, keys array<{key_type}>, held array<boolean>, block long, tokens long, documents long")
 
 
 def counts_of(data: bytes) -> np.ndarray:
@@ -165,11 +175,16 @@ def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Grams of order LOW with their counts by fold, over all sources."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros((0, FOLDS), np.int64)
+        found, size, shift = [(np.zeros(0, np.uint64), np.zeros((0, FOLDS), np.int64))], 0, np.uint64(8 * (DEPTH - LOW))
         for batch in batches:
             for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, number, _ = merged(unpack(g, np.uint64).byteswap() & mask(LOW), counts_of(c))
-                keys, counts, _ = merged(np.concatenate([keys, own]), np.concatenate([counts, number]))
+                own = unpack(g, np.uint64) >> shift  # last byte first and sorted: equal ones stand together
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                found.append(((own[starts] << shift).byteswap(), np.add.reduceat(counts_of(c), starts, axis=0)))
+                size += len(starts)
+                if size > LOW_WAITING:
+                    found, size = [merged(*map(np.concatenate, zip(*found, strict=True)))[:2]], 0
+        keys, counts, _ = merged(*map(np.concatenate, zip(*found, strict=True)))
         where = mix(keys) % np.uint64(LOW_PARTS)
         rows = [(k, planes(keys[own]), counts[own].tobytes()) for k in range(LOW_PARTS) if (own := where == k).any()]
         if rows:
@@ -202,7 +217,7 @@ class Counts:
             else:
                 every, total, _ = merged(low[0] & mask(k), low[1])
                 context = every >> np.uint64(8)
-                used = np.isin(context, np.unique(own >> np.uint64(8)))
+                used = np.isin(context, uniques(own >> np.uint64(8)))
                 distinct, total = every[used], total[used]
                 self.at[k] = np.searchsorted(distinct, own)
             self.at[k] = self.at[k].astype(np.int32)
@@ -315,17 +330,16 @@ class Mixer:
                 rows = np.flatnonzero(counts.counts[:, fold])
                 if not len(rows):
                     continue
+                size, turn = min(8192, max(128, len(rows) // 64)), rng.permutation(len(rows))
+                rows = rows[np.concatenate([np.sort(turn[a : a + size]) for a in range(0, len(rows), size)])]
                 inputs, gate = counts.inputs(rows, contexts, counts.tables(contexts, fold))
                 last, times, b = (x[rows] for x in (counts.last, counts.counts[:, fold].astype(np.float64), bit))
-                gates, near = [gate, last], np.empty(len(rows), np.int64)
+                gates, near = [gate.astype(np.int64), last], np.empty(len(rows), np.int64)
                 for n, g in zip(views[2], gates, strict=True):
                     n += np.bincount(g, times, len(n))
-                turn = rng.permutation(len(rows))
-                size = min(8192, max(128, len(rows) // 64))
                 for a in range(0, len(rows), size):
-                    at = np.sort(turn[a : a + size])
-                    x, (t, o) = np.take(inputs, at, axis=0).astype(np.float64), (np.take(v, at) for v in (times, b))
-                    own = [np.take(g, at) for g in gates]
+                    at = slice(a, a + size)
+                    x, t, o, own = inputs[at].astype(np.float64), times[at], b[at], [g[at] for g in gates]
                     sums, columns = self.sums(x, views[0], own), np.ascontiguousarray(x.T)
                     low, part = self.place((sums[0] + sums[1]) / 2)
                     near[at] = own[1] * BUCKETS + low + (part > 0.5)
@@ -346,19 +360,24 @@ class Mixer:
         self.map = (ones + HITS * MAP) / (hits + HITS)
 
 
-def counts_in(rows: pa.Table, low: tuple[np.ndarray, np.ndarray]) -> tuple[Counts, np.ndarray, np.ndarray]:
-    """Counts of a bucket's rows; the places of each row's grams in them, and where each row's begin."""
+def counts_in(rows: pa.Table, low: tuple[np.ndarray, np.ndarray], folds: bool = True) -> tuple[Counts, list[np.ndarray]]:
+    """Counts of a bucket's rows, by fold or (with low ones alike) in one sum, and the places of each row's grams in them."""
     grams = [unpack(x, np.uint64) for x in rows["grams"].to_pylist()]
-    swapped, counts, at = merged(np.concatenate(grams), np.concatenate([counts_of(x) for x in rows["counts"].to_pylist()]), True)
-    keys = swapped.byteswap()
-    order = np.argsort(keys)
+    swapped = uniques(np.concatenate(grams))
+    order = np.argsort(swapped.byteswap())
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return Counts(low, keys[order], counts[order]), place[at], np.cumsum([0, *map(len, grams)])
+    counts, at = np.zeros((FOLDS if folds else 1, len(order)), np.int64), []
+    for own, packed in zip(grams, rows["counts"].to_pylist(), strict=True):
+        at.append(place[np.searchsorted(swapped, own)])
+        number = unpack(packed, np.uint32).reshape(FOLDS, -1)
+        for total, n in zip(counts, number if folds else [number.sum(0)], strict=True):
+            total[at[-1]] += n.astype(np.int64)  # a row has no gram twice
+    return Counts(low, swapped.byteswap()[order], np.ascontiguousarray(counts.T)), at
 
 
 def fit_mixer(grams: DataFrame, low, buckets: int) -> Mixer:
-    spark, mixer = grams.sparkSession, Mixer()
+    mixer = Mixer()
     shapes = [n for sets in SETS for n in (8 * sets, 8 * sets * (len(ORDERS) + 1))] + [MAP.size] * 2
     width = int(np.ceil(np.sqrt(buckets)))  # buckets whose sums are added before they come to the driver
 
@@ -375,7 +394,6 @@ def fit_mixer(grams: DataFrame, low, buckets: int) -> Mixer:
     if parts:
         total = sum(np.frombuffer(r.found) for r in sorted(parts, key=lambda r: r.part))
         mixer.average(np.split(total, np.cumsum(shapes)[:-1]))
-    release(spark)
     return mixer
 
 
@@ -383,114 +401,100 @@ def gram_costs(grams: DataFrame, low, mixer) -> DataFrame:
     """Per source and bucket: the cost of each gram, in the order in which they were sent."""
 
     def run(rows: pa.Table) -> pa.Table:
-        counts, at, starts = counts_in(rows, low.value)
+        keys, total = low.value
+        counts, at = counts_in(rows, (keys, total.sum(1, keepdims=True)), False)
         costs = mixer.value.costs(counts).astype(np.float32)
-        found = [pack(costs[at[a:b]]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        return pa.table([rows["source"].combine_chunks(), rows["bucket"].combine_chunks(), pa.array(found, pa.binary())], names=["source", "bucket", "costs"])
+        found = [pack(costs[own]) for own in at]
+        return pa.table([rows["source"].combine_chunks(), rows["bucket"].combine_chunks().cast(pa.int32()), pa.array(found, pa.binary())], names=["source", "bucket", "costs"])
 
     return grams.groupBy("bucket").applyInArrow(run, "source long, bucket int, costs binary")
 
 
 def text_scores(read: DataFrame, costs: DataFrame, key: str, key_type: str, buckets: int) -> DataFrame:
-    """Per document: key, words joined by spaces, held_out, score. Each source's texts meet the costs of their grams."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        columns = {c: rows[c].to_pylist() for c in ("texts", "keys", "held", "bucket", "costs")}
-        parts_of = [None if t is None else unpack(t).split(END) for t in columns["texts"]]
-        keys = np.unique(np.concatenate([np.unique(grams_of(parts)[0].byteswap()) for parts in parts_of if parts is not None]))
-        sent = sorted((b, i) for i, b in enumerate(columns["bucket"]) if b is not None)
-        cost = np.empty(len(keys))
-        cost[dealt(keys, buckets)[0]] = np.concatenate([unpack(columns["costs"][i], np.float32) for _, i in sent])
+    """Per document: key, held_out, n_tokens, score, block and place there. Each source's texts meet the costs of their grams."""
+
+    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        texts = rows["texts"].to_pylist()
+        keys = uniques(np.concatenate([uniques(grams_of(unpack(t).split(END))[0].byteswap()) for t in texts]))
+        order = np.argsort(sent["bucket"].to_numpy())
+        cost, packed = np.empty(len(keys)), sent["costs"].to_pylist()
+        cost[dealt(keys, buckets)[0]] = np.concatenate([unpack(packed[i], np.float32) for i in order])
         shift = np.uint64(64 - min(24, 2 + len(keys).bit_length()))
-        place = (mix(keys) >> shift).astype(np.int64)
-        slots = np.zeros(1 << (64 - int(shift)), np.int64)  # the place of a gram that has this hash; the others are searched
-        slots[place] = np.arange(len(keys))
-        out = [], [], [], []
-        for parts, ids, held in zip(parts_of, columns["keys"], columns["held"], strict=True):
-            if parts is not None:
-                grams, starts = grams_of(parts)
-                grams = grams.byteswap()
-                at = slots[(mix(grams) >> shift).astype(np.int64)]
-                lost = np.flatnonzero(keys[at] != grams)
-                at[lost] = np.searchsorted(keys, grams[lost])
-                for o, x in zip(out, (ids, parts, held, np.add.reduceat(cost[at], starts).tolist()), strict=True):
-                    o.extend(x)
-        return pa.table([pa.array(o, t) for o, t in zip(out, (rows["keys"].type.value_type, pa.binary(), pa.bool_(), pa.float64()), strict=True)], names=[key, "words", "held_out", "score"])
-
-    texts = read.where("bucket is null").select("source", "texts", "keys", "held", "bucket", F.lit(None).cast("binary").alias("costs"))
-    sent = costs.select("source", F.lit(None).cast("binary").alias("texts"), F.lit(None).cast(f"array<{key_type}>").alias("keys"), F.lit(None).cast("array<boolean>").alias("held"), "bucket", "costs")
-    return texts.unionByName(sent).groupBy("source").applyInArrow(run, f"{key} {key_type}, words binary, held_out boolean, score double")
-
-
-def scored_blocks(df: DataFrame, key: str, bits: int) -> DataFrame:
-    """Rows of one block and bucket of word hashes: the distinct words, their count in learning documents, and for every
-    document which of them it has. One row of each block has its documents and their scores."""
+        slots = np.zeros(1 << (64 - int(shift)), np.int32)  # the place of a gram that has this hash; the others are searched
+        slots[(keys * SPREAD >> shift).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+        number, scores = [], []
+        for t in texts:
+            parts = unpack(t).split(END)
+            grams, starts = grams_of(parts)
+            grams = grams.byteswap()
+            at = slots[(grams * SPREAD >> shift).astype(np.int64)]
+            lost = np.flatnonzero(keys[at] != grams)
+            at[lost] = np.searchsorted(keys, grams[lost])
+            number.append(n_tokens(parts))
+            scores.append(np.add.reduceat(cost[at], starts))
+        sizes = [len(x) for x in number]
+        of = [pa.array([x for part in rows[c].to_pylist() for x in part], t) for c, t in (("keys", rows["keys"].type.value_type), ("held", pa.bool_()))]
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        return pa.table([*of, *(pa.array(np.concatenate(x)) for x in (number, scores)), pa.array(np.repeat(rows["block"].to_numpy(), sizes)), pa.array(places)], names=[key, "held_out", "n_tokens", "score", "block", "place"])
+
+    texts = read.where("bucket is null").select("home", "block", "texts", "keys", "held")
+    return texts.groupBy("home").cogroup(costs.groupBy("source")).applyInArrow(run, f"{key} {key_type}, held_out boolean, n_tokens long, score double, block long, place int")
+
+
+def word_blocks(read: DataFrame, bits: int) -> DataFrame:
+    """Rows of one block of texts and bucket of word hashes: the distinct words, their count in learning documents, and for every
+    document which of them it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, partition = Shingler(), TaskContext.get().partitionId()
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in batches:
-                at = 0
-                for keys, parts in blocks(iter([batch]), BLOCK):
-                    yield keys, *(batch.column(i).slice(at, len(keys)).to_numpy(zero_copy_only=False) for i in (2, 3)), parts
-                    at += len(keys)
-
-        for number, (keys, held, scores, parts) in enumerate(pairs(batches)):
-            n = np.array([p.count(b" ") + 1 if p else 0 for p in parts], np.int64)
-            hashes, _ = shingler.word_hashes(np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8))
-            owner = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            distinct, inverse = np.unique(hashes, return_inverse=True)
-            learned = np.bincount(inverse[~held[owner]], minlength=len(distinct)).astype(np.uint32)
-            bucket = (distinct >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(bucket[inverse], kind="stable")
-            token, owner = inverse[order], owner[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(cuts[1:], len(bucket)) if len(cuts) else cuts
-            token_cuts = np.searchsorted(bucket[token], bucket[cuts], "left")
-            token_ends = np.searchsorted(bucket[token], bucket[cuts], "right")
-            block = (partition << 32) | number
-            rows = []
-            for a, b, c, d in zip(cuts, ends, token_cuts, token_ends, strict=True):
-                kind = np.uint16 if b - a < 65536 else np.uint32
-                rows.append((int(bucket[a]), planes(distinct[a:b]), planes(learned[a:b]), planes(np.bincount(owner[c:d], minlength=len(n)).astype(np.uint32)), planes((token[c:d] - a).astype(kind)), None, None, None, None))
-            rows.append((block % (1 << bits), None, None, None, None, keys.to_pylist(), held.tolist(), (n + 1).tolist(), scores.tolist()))
-            columns = list(zip(*rows, strict=True))
-            types = [pa.binary()] * 4 + [pa.list_(t) for t in (keys.type, pa.bool_(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names=["bucket", "block", "words", "learned", "counts", "tokens", "keys", "held", "n", "scores"])
-
-    key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, "words", "held_out", "score").mapInArrow(trimmed(run), f"bucket int, block long, words binary, learned binary, counts binary, tokens binary, keys array<{key_type}>, held array<boolean>, n array<long>, scores array<double>")
-
-
-def block_sums(dealt: DataFrame, key_type: str) -> DataFrame:
+        shingler = Shingler()
+        for batch in batches:
+            for block, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                parts, held = unpack(text).split(END), np.array(held, bool)
+                n = n_tokens(parts) - 1
+                hashes, _ = shingler.word_hashes(np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8))
+                owner = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+                words, inverse = np.unique(hashes, return_inverse=True)
+                learned = np.bincount(inverse[~held[owner]], minlength=len(words)).astype(np.uint32)
+                bucket = (words >> np.uint64(64 - bits)).astype(np.int32)
+                order = np.argsort(bucket[inverse], kind="stable")
+                token, owner = inverse[order], owner[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(cuts[1:], len(bucket)) if len(cuts) else cuts
+                token_cuts = np.searchsorted(bucket[token], bucket[cuts], "left")
+                token_ends = np.searchsorted(bucket[token], bucket[cuts], "right")
+                rows = []
+                for a, b, c, d in zip(cuts, ends, token_cuts, token_ends, strict=True):
+                    kind = np.uint16 if b - a < 65536 else np.uint32
+                    rows.append((planes(words[a:b]), planes(learned[a:b]), planes(np.bincount(owner[c:d], minlength=len(n)).astype(np.uint32)), planes((token[c:d] - a).astype(kind))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], names=["bucket", "block", "words", "learned", "counts", "tokens"])
+
+    return read.where("bucket is null").select("block", "texts", "held").mapInArrow(trimmed(run), "bucket int, block long, words binary, learned binary, counts binary, tokens binary")
+
+
+def block_sums(sent: DataFrame) -> DataFrame:
     """Back to each block: for its documents the sum of log10(c + 1) and the known tokens of one bucket. Each bucket's first
     row has its number of distinct learned words."""
 
     def run(rows: pa.Table) -> pa.Table:
-        words, counts = rows["words"].to_pylist(), rows["counts"].to_pylist()
-        learned, tokens = rows["learned"].to_pylist(), rows["tokens"].to_pylist()
-        own = [i for i, w in enumerate(words) if w is not None]
-        out: list[tuple] = [(None, None, None, 0)] * len(words)
-        if own:
-            hashes = [from_planes(words[i], np.uint64) for i in own]
-            distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([from_planes(learned[i], np.uint32) for i in own]), minlength=len(distinct))
-            at = 0
-            for j, (i, h) in enumerate(zip(own, hashes, strict=True)):
-                c = total[inverse[at : at + len(h)]]
-                at += len(h)
-                number = from_planes(counts[i], np.uint32)
-                token = from_planes(tokens[i], np.uint16 if len(h) < 65536 else np.uint32)
-                has = np.flatnonzero(number)
-                starts = np.concatenate([[0], np.cumsum(number[has])[:-1]]).astype(np.int64)
-                logs, known = np.log10(c + 1)[token], (c > 0)[token].astype(np.int64)
-                out[i] = (has.astype(np.uint32).tobytes(), np.add.reduceat(logs, starts).tobytes(), np.add.reduceat(known, starts).astype(np.uint32).tobytes(), int((total > 0).sum()) if j == 0 else 0)
-        columns = list(zip(*out, strict=True))
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)]
-        return pa.table([rows["block"].combine_chunks(), *arrays, *(rows[c].combine_chunks() for c in ("keys", "held", "n", "scores"))], names=["block", "owner", "logs", "known", "distinct", "keys", "held", "n", "scores"])
-
-    return dealt.groupBy("bucket").applyInArrow(run, f"block long, owner binary, logs binary, known binary, distinct long, keys array<{key_type}>, held array<boolean>, n array<long>, scores array<double>")
+        counts, learned, tokens = (rows[c].to_pylist() for c in ("counts", "learned", "tokens"))
+        hashes = [from_planes(x, np.uint64) for x in rows["words"].to_pylist()]
+        words, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([from_planes(x, np.uint32) for x in learned]), minlength=len(words))
+        at, out = 0, []
+        for i, h in enumerate(hashes):
+            c = total[inverse[at : at + len(h)]]
+            at += len(h)
+            number = from_planes(counts[i], np.uint32)
+            token = from_planes(tokens[i], np.uint16 if len(h) < 65536 else np.uint32)
+            has = np.flatnonzero(number)
+            starts = np.concatenate([[0], np.cumsum(number[has])[:-1]]).astype(np.int64)
+            logs, known = np.log10(c + 1)[token], (c > 0)[token].astype(np.int64)
+            out.append((has.astype(np.uint32).tobytes(), np.add.reduceat(logs, starts).tobytes(), np.add.reduceat(known, starts).astype(np.uint32).tobytes(), int((total > 0).sum()) if i == 0 else 0))
+        arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)]
+        return pa.table([rows["block"].combine_chunks(), *arrays], names=["block", "owner", "logs", "known", "distinct"])
+
+    return sent.groupBy("bucket").applyInArrow(run, "block long, owner binary, logs binary, known binary, distinct long")
 
 
 def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -498,38 +502,38 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text", key: str =
 
     Learns from rows where held_out is false. A null text is an empty one: only its end is a token. Repeated rows are
     counted and scored as often as they occur; further columns are not read. Where nothing can be learned all counts are
-    0 and the model's probabilities are those of its start.
+    0 and the model's probabilities are those of its start. Texts and grams are sent where they are needed once, and what one
+    phase has sent is deleted before the next one: base scores, learning, scores.
     """
     spark = df.sparkSession
     key_type = df.schema[key].dataType.simpleString()
     rows = df.select(key, text, held_out.alias("held_out"), F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(shuffle_width(spark), -(-size // BUCKET))
-    read = durable(sources(rows, key, text, buckets))
-    grams = read.where("bucket is not null").select("bucket", "source", "grams", "counts")
+    read = durable_by(sources(rows, key, text, buckets), buckets, "home")
+    free_shuffles(spark)
+    bits = max(3, min(30, (buckets - 1).bit_length()))
+    sums = durable(block_sums(word_blocks(read, bits)))
+    free_shuffles(spark)
+    number = sums.agg(F.sum("distinct")).first()[0] or 0
+    tokens, documents = (x or 0 for x in read.agg(F.sum("tokens"), F.sum("documents")).first())
+    grams = read.where("bucket is not null").select(F.col("home").alias("bucket"), "source", "grams", "counts")
     low = spark.sparkContext.broadcast(low_counts(grams))
-    release(spark)
     mixer = spark.sparkContext.broadcast(fit_mixer(grams, low, buckets))
-    bits = max(3, min(30, (buckets - 1).bit_length()))
-    sums = durable(block_sums(scored_blocks(text_scores(read, gram_costs(grams, low, mixer), key, key_type, buckets), key, bits), key_type))
-    release(spark)
-    learned = "aggregate(zip_with(n, held, (x, h) -> if(h, 0L, x)), 0L, (a, x) -> a + x)"
-    number, tokens, documents = sums.agg(F.sum("distinct"), F.sum(F.expr(learned)), F.sum(F.expr("cast(coalesce(size(filter(held, h -> not h)), 0) as long)"))).first()
-    number, tokens, documents = number or 0, tokens or 0, documents or 0
-    distinct = number + (1 if documents else 0)
-    floor = float(np.log10(tokens + distinct + 1))
-
-    def gather(table: pa.Table) -> pa.Table:
-        meta = next(r for r in table.select(["keys", "held", "n", "scores"]).to_pylist() if r["keys"] is not None)
-        n = np.array(meta["n"], np.int64)
+    free_shuffles(spark)
+    floor = float(np.log10(tokens + number + (1 if documents else 0) + 1))
+
+    def gather(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        n = rows["n_tokens"].to_numpy()
         logs, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
-        for o, x, k in zip(*(table[c].to_pylist() for c in ("owner", "logs", "known")), strict=True):
-            if o is not None:
-                at = np.frombuffer(o, np.uint32)
-                logs[at] += np.frombuffer(x, np.float64)
-                known[at] += np.frombuffer(k, np.uint32)
+        for o, x, k in zip(*(sent[c].to_pylist() for c in ("owner", "logs", "known")), strict=True):
+            at = np.frombuffer(o, np.uint32)
+            logs[at] += np.frombuffer(x, np.float64)
+            known[at] += np.frombuffer(k, np.uint32)
         logs += np.log10(documents + 1)
         known += documents > 0
-        return pa.table([pa.array(meta["keys"], table["keys"].type.value_type), pa.array(meta["held"], pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(logs - n * floor), pa.array(meta["scores"], pa.float64())], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([rows[key], rows["held_out"], rows["n_tokens"], pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(logs - n * floor), rows["score"]], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return sums.groupBy("block").applyInArrow(gather, f"{key} {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = text_scores(read, gram_costs(grams, low, mixer), key, key_type, buckets)
+    return scores.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(gather, f"{key} {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,5 +1,6 @@
 """Context mixing: what is counted, what teaches the mixer, and how far contexts reach."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -70,3 +71,33 @@ def test_grams_are_not_sent_back_with_their_costs(spark):
     own[np.searchsorted(counts.keys, learned.keys)] = learned.counts
     costs = mixer.costs(Counts(low, counts.keys, own))
     assert all(abs(found[i] - costs[np.searchsorted(counts.keys, k)].sum()) < 1e-4 for i, k in enumerate(keys))
+
+
+def test_grams_are_dealt_once_and_phases_free_their_shuffles(spark, monkeypatch):
+    from kobza.llm import context_mixing
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+
+    def shuffled():
+        return {x.rpartition("/")[2] for x in env.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").splitlines() if x.endswith(".data")}
+
+    before, left, plans = shuffled(), [], []
+
+    def seen(name):
+        def call(grams, *a, f=getattr(context_mixing, name)):
+            deadline = time.time() + 5  # files are deleted in another thread
+            while shuffled() - before and time.time() < deadline:
+                time.sleep(0.1)
+            left.append((name, shuffled() - before))
+            out = f(grams, *a)
+            plans.append(grams.groupBy("bucket").applyInArrow(lambda t: t, grams.schema)._jdf.queryExecution().toString())
+            return out
+
+        return call
+
+    for name in {"word_blocks", "gram_costs"} & set(vars(context_mixing)):
+        monkeypatch.setattr(context_mixing, name, seen(name), raising=False)
+    rows = [(i, f"Some words of text {i} and {i % 7} more") for i in range(60)]
+    assert len(context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()) == 60
+    assert left[-1][0] == "gram_costs" and not any(x for _, x in left), left
+    assert "Exchange" not in plans[-1]
