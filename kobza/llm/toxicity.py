@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kobza.llm.common import map_arrow, release, sample_keys, trimmed
+from kobza.llm.common import durable, map_arrow, release, sample_keys, trimmed
 
 #: Bounds of the sample that the chain is fitted on; length of the mark list; folds.
 TOXIC, CLEAN, MARKS, FOLDS = 3000, 6000, 256, 5
+#: Rows that a step of the fit multiplies at once.
+ROWS = 1024
 #: Lengths in bytes of the beginnings of words that may be marks, and distinct words that one task remembers.
 BEGINNINGS, MEMORY = (4, 5, 6, 7), 400_000
 CHAIN = ["toxic_good", "toxic_poor", "toxic"]
@@ -48,14 +50,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Logistic regression of weighted rows by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    """Logistic regression of weighted rows by Newton steps; the last weight is the bias. Rows are summed in blocks, as
+    intermediate matrices are as large as the rows they are of."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), decay * len(x))
     ridge[-1] = 1e-6
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(ridge + 1e-9), x.T @ (weight * (p - y)) + ridge * w)
+        curve, slope = np.diag(ridge + 1e-9), ridge * w
+        for at in range(0, len(x), ROWS):
+            part, u = np.hstack([x[at : at + ROWS], np.ones((len(x[at : at + ROWS]), 1))]), weight[at : at + ROWS]
+            p = sigmoid(part @ w)
+            curve += (part.T * (u * p * (1 - p))) @ part
+            slope += part.T @ (u * (p - y[at : at + ROWS]))
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -86,16 +93,19 @@ def run_chain(x: np.ndarray, models: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def mark_list(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = MARKS) -> list[bytes]:
-    """Marks by their G statistic, those that toxic documents have clearly more often. Counters: documents by mark.
+def telling(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """Whether toxic documents have a mark clearly more often. Columns: numbers of documents with it."""
+    return (toxic >= 3) & (toxic / n_toxic >= 3 * (clean + 0.5) / (n_clean + 1))
+
+
+def mark_list(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, looked_at: int, most: int = MARKS) -> list[bytes]:
+    """Telling marks by their G statistic. Counters: documents by mark.
 
     The statistic has to exceed the logarithm of the number of marks looked at, so that chance brings about one in all.
     """
-    found, least = [], math.log(max(2, len(toxic)))
+    found, least = [], math.log(max(2, looked_at))
     for w, a in toxic.items():
-        b = clean.get(w, 0)
-        if a < 3 or a / n_toxic < 3 * (b + 0.5) / (n_clean + 1):
-            continue
+        b = clean[w]
         p = (a + b) / (n_toxic + n_clean)
         g = a * math.log(a / (n_toxic * p)) + (b * math.log(b / (n_clean * p)) if b else 0)
         if g > least:
@@ -135,30 +145,47 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: Column, text: str, ke
     keys = sample_keys(marks.where("_mark > 0"), key, TOXIC, ["_mark"]).unionByName(sample_keys(marks.where("_mark = 0"), key, CLEAN, ["_mark"]))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # A document comes to the driver as its words' counts: the sample is bounded, and no text is cut.
+        # A document is kept as its words: the sample is bounded, and no text is cut.
         rows = [b" ".join(words_of(t)) for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["fold", "mark", "words"])
 
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        clean, toxic = counted = Counter(), Counter()
+        for mark, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            counted[mark > 0].update({m for w in set(words.split()) for m in marks_of(w)})
+        every = list(toxic | clean)
+        arrays = [pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in (toxic, clean))]
+        return pa.RecordBatch.from_arrays(arrays, names=["word", "toxic", "clean"])
+
+    def see(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen = [model.features(w.split()) for w in batch.column(2).to_pylist()]
+        arrays = [pa.array([np.flatnonzero(x).astype(np.int32) for x in seen], pa.list_(pa.int32())), pa.array([x[x != 0] for x in seen], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["fold", "mark", "places", "values"])
+
+    # The sample's words stay with the executors; the driver gets what a mark needs at least, and which marks a document has.
     sample = documents.select(key, text).join(F.broadcast(keys), key).select(F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"), "_mark", text)
-    counted = Counter(), Counter()
+    sample = durable(map_arrow(sample, of, "fold int, mark int, words binary"))
     sizes = [0, 0, 0]
-    rows = []
-    for r in map_arrow(sample, of, "fold int, mark int, words binary").toLocalIterator():
-        words = bytes(r.words).split()
-        sizes[r["mark"]] += 1
-        counted[r["mark"] > 0].update({m for w in set(words) for m in marks_of(w)})
-        rows.append((r.fold, r["mark"], bytes(r.words)))
-    if not sizes[0] or not sum(sizes[1:]):
+    for r in sample.groupBy("mark").agg(F.count("*").alias("n")).collect():
+        sizes[r["mark"]] = r["n"]
+    n_toxic, n_clean = sum(sizes[1:]), sizes[0]
+    if not n_clean or not n_toxic:
         return None
+    totals = map_arrow(sample, count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0")
+    distinct = F.when(telling(F.col("toxic"), F.col("clean"), n_toxic, n_clean), F.col("word")).alias("word")  # null for all others, which are but counted
+    found = totals.groupBy(distinct).agg(F.count("*").alias("n"), F.first("toxic").alias("toxic"), F.first("clean").alias("clean")).collect()
+    counted = [Counter({bytes(r.word): r[c] for r in found if r.word is not None}) for c in ("toxic", "clean")]
+    model = Model(mark_list(*counted, n_toxic, n_clean, looked_at=sum(r.n for r in found)), [])
+    rows = sorted(tuple(r) for r in map_arrow(sample, see, "fold int, mark int, places array<int>, values array<double>").collect())
     labelled = {r["_mark"]: r["n"] for r in marks.groupBy("_mark").agg(F.count("*").alias("n")).collect()}
     share = np.array([labelled.get(k, 0) / max(1, n) for k, n in enumerate(sizes)])  # labelled rows that each row of the sample stands for
-    rows.sort()
-    model = Model(mark_list(counted[1], counted[0], sum(sizes[1:]), sizes[0]), [])
-    x = np.array([model.features(w.split()) for _, _, w in rows])
-    kinds = np.array([m for _, m, _ in rows])
+    x = np.zeros((len(rows), len(model.place) + 2))
+    for i, (_, _, places, values) in enumerate(rows):
+        x[i, places] = values
+    kinds = np.array([r[1] for r in rows])
     weight = share[kinds]
     weight *= len(weight) / weight.sum()
-    model.models = fit_chain(x, [(kinds == 2).astype(float), (kinds == 1).astype(float), (kinds > 0).astype(float)], np.array([f for f, _, _ in rows]), weight)
+    model.models = fit_chain(x, [(kinds == 2).astype(float), (kinds == 1).astype(float), (kinds > 0).astype(float)], np.array([r[0] for r in rows]), weight)
     return model
 
 

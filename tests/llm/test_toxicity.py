@@ -49,3 +49,17 @@ def test_a_chain_is_no_worse_than_independent_models():
         seen[folds == k] = toxicity.apply_linear(x[learn][folds == k], toxicity.fit_linear(x[learn][folds != k], first[learn][folds != k], weight[folds != k]))
     assert np.allclose(seen[folds == 2], out)
     assert np.allclose(chain[1], toxicity.fit_linear(np.hstack([x[learn], seen[:, None]]), second[learn], weight))
+
+
+def test_the_sample_stays_with_the_executors(spark, monkeypatch):
+    """The driver sees no word of the sample but the marks, whatever is in its documents, and broadcasts nothing else."""
+    rows = [(i, " ".join(["grumbo" if i % 3 == 0 else "lorem", *(f"word{chr(97 + j)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for j in range(20))])) for i in range(600)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0), i % 2) for i in range(600)], "doc_id long, toxic int, quality int")
+    here = []
+    words_of, marks_of = toxicity.words_of, toxicity.marks_of
+    monkeypatch.setattr(toxicity, "marks_of", lambda word: here.append(word) or marks_of(word))
+    model = toxicity.fit(documents, marks, F.lit(False), "text", "doc_id", "toxic", "quality")
+    assert b"grumbo" in model.place and not here and not model.known
+    found = model.probabilities(["grumbo dolor", "lorem dolor", None])[-1]
+    assert words_of("Grumbo!") == [b"grumbo"] and here and found[0] > 0.5 > max(found[1:])
