@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kobza.operators import diagnostics
 from kobza.operators.pieces import PIECE, pieces
+from kobza.operators.spans import summarize
 from kobza.sources.lexicons import Lexicons
 
 LINE = "У 2024 вийшов Foo X, 10:30, $12. Так? Ні! Word 17 км. "
@@ -61,3 +62,5 @@ def test_results_are_those_of_each_text(spark):
     assert len(found) == len(texts)
     for i, *columns in found:
         assert (None if columns[0] is None else tuple([tuple(s) for s in c] for c in columns)) == expected[i]
+    total = sum(len(e[0]) for e in expected.values() if e)
+    assert summarize(diagnostics.flag_uncertain(df)).where("kind = 'total'").first()["count"] == total
