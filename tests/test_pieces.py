@@ -45,7 +45,7 @@ def functions(monkeypatch, call) -> list:
     return found
 
 
-@pytest.mark.parametrize("call", [diagnostics.spans, segment.tokenize])
+@pytest.mark.parametrize("call", [diagnostics.spans, segment.tokenize, segment.split_sentences])
 def test_objects_do_not_grow_with_the_batch(monkeypatch, call):
     (run,) = functions(monkeypatch, lambda: call(None))
     of = lambda k: peak(run, [f"{i} {LINE * 40}" for i in range(k * PIECE // len((LINE * 40).encode()))])
@@ -57,10 +57,10 @@ def test_results_are_those_of_each_text(spark):
     texts = [None, "", *[f"{i} {LINE * (i % 60)}" for i in range(300)], LINE * 6000, None, LINE, LINE]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
     scan = diagnostics.scanner(None, Lexicons())
-    expected = {i: None if t is None else (segment.tokens(t), scan(t)) for i, t in enumerate(texts)}
-    found = df.select("doc_id", segment.tokenize(F.col("text")), diagnostics.spans(F.col("text"))).collect()
+    expected = {i: None if t is None else (segment.tokens(t), segment.sentences(t), scan(t)) for i, t in enumerate(texts)}
+    found = df.select("doc_id", segment.tokenize(F.col("text")), segment.split_sentences(F.col("text")), diagnostics.spans(F.col("text"))).collect()
     assert len(found) == len(texts)
     for i, *columns in found:
         assert (None if columns[0] is None else tuple([tuple(s) for s in c] for c in columns)) == expected[i]
-    total = sum(len(e[1]) for e in expected.values() if e)
+    total = sum(len(e[2]) for e in expected.values() if e)
     assert summarize(diagnostics.flag_uncertain(df)).where("kind = 'total'").first()["count"] == total
